@@ -13,8 +13,10 @@ distance never exceeds the symmetric difference. The join has these steps:
    smaller than d + 1: differences fall into blocks at random, so about k * exp(-d/k)
    blocks stay untouched. This makes the search approximate there, at an expected
    recall of 0.95 right at t and higher above it; tests measure it.
-3. A 512-bit sketch of the whole set drops pairs whose Hamming distance exceeds d (exact).
-4. The sets of the remaining documents are made again from their texts and compared.
+3. Documents that met, directly or through others, are a group; the groups' sets are made
+   again from the texts and moved once to where their group is compared.
+4. There a 512-bit sketch of the whole set drops pairs whose Hamming distance exceeds d
+   (exact), and the sets of the others are compared.
 
 Result: doc_id_a < doc_id_b, jaccard. Documents with equal sets are paired with the lowest
 id among them (jaccard 1), and only that one is paired with others, so thousands of
@@ -41,6 +43,8 @@ from lodeframe.llm import _shared as S
 #: Sampled grams of a set at its band's lower edge, and blocks per expected difference.
 SAMPLE, PER_BLOCK, SURE = 96, 2.1, 8
 SKETCH_WORDS = 8
+#: Grams of one side of a square of comparisons (8 bytes each).
+BLOCK = 1_000_000
 
 
 def gram_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,11 +131,7 @@ def _profile(n: int, t: float):
                 marks.append((total[at[1:]] - total[at[:-1]]).view(np.int64))
             keys, of = block_keys(grams, owner, sizes, t)
             order = np.argsort(of, kind="stable")
-            bits = sketches(grams, owner, docs)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(sizes.astype(np.int32)), *map(pa.array, marks), S.lists(keys[order].view(np.int64), np.bincount(of, minlength=docs), pa.int64())] + [pa.array(bits[:, i]) for i in range(SKETCH_WORDS)],
-                names=["doc", "n", "m1", "m2", "keys", *(f"s{i}" for i in range(SKETCH_WORDS))],
-            )
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes.astype(np.int32)), *map(pa.array, marks), S.lists(keys[order].view(np.int64), np.bincount(of, minlength=docs), pa.int64())], names=["doc", "n", "m1", "m2", "keys"])
 
     return run
 
@@ -140,43 +140,100 @@ def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in S.chunks(batches):
             grams, sizes = gram_sets(part.column(1), n)
-            yield pa.RecordBatch.from_arrays([part.column(0), S.blobs(grams, sizes)], names=["doc", "grams"])
+            bits = sketches(grams, np.repeat(np.arange(len(sizes)), sizes), len(sizes))
+            yield pa.RecordBatch.from_arrays([part.column(0), S.blobs(grams, sizes), S.blobs(bits.ravel(), np.full(len(sizes), SKETCH_WORDS))], names=["doc", "grams", "sketch"])
 
     return run
 
 
-def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each block of a partition sorted by block, over batch borders."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        left, right, out = batch.column(2), batch.column(3), []
-        for x, y in zip(left, right, strict=True):
-            a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            out.append(both / (len(a) + len(b) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["doc_id_a", "doc_id_b", "jaccard"])
+        block = batch.column(0).to_numpy(zero_copy_only=False)
+        if not len(block):
+            continue
+        edges = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]])
+        for x, y in zip(edges[:-1], edges[1:], strict=True):
+            if held and held[0].column(0)[0].as_py() != block[x]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(x, y - x))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _compare(t: float, spanning: bool):
+    """Pairs of each block (block, side, doc, grams, sketch); side 0 and 1: only pairs across, 2: all pairs."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int, float]] = []
+        for rows in _blocks(batches):
+            doc, side = rows.column("doc").to_pylist(), rows.column("side").to_numpy()
+            grams = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("grams")]
+            bits = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS)
+            size = np.array([len(g) for g in grams])
+            root = list(range(len(doc)))
+
+            def find(i: int, root: list[int] = root) -> int:
+                while root[i] != i:
+                    root[i] = root[root[i]]
+                    i = root[i]
+                return i
+
+            for i in range(len(doc) - 1):
+                low, high = np.minimum(size[i], size[i + 1 :]), np.maximum(size[i], size[i + 1 :])
+                likely = low >= t * high - 1e-6
+                likely &= (side[i] == 2) | (side[i + 1 :] != side[i])
+                others = np.flatnonzero(likely) + i + 1
+                # Hamming distance of the sketches: never above the symmetric difference.
+                apart = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1)
+                for j in others[apart <= (size[i] + size[others]) * ((1 - t) / (1 + t)) + 1e-6]:
+                    if spanning and find(i) == find(j):
+                        continue
+                    both = len(grams[i]) + len(grams[j]) - len(np.unique(np.concatenate([grams[i], grams[j]])))
+                    similar = both / (len(grams[i]) + len(grams[j]) - both)
+                    if similar >= t:
+                        root[find(i)] = find(j)
+                        out.append((min(doc[i], doc[j]), max(doc[i], doc[j]), similar))
+            if len(out) > 20_000:
+                yield _pairs(out)
+                out = []
+        yield _pairs(out)
+
+    return run
 
-def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 2, threshold: float = 0.55) -> DataFrame:
-    """Pairs of documents whose n-gram sets have a Jaccard similarity of threshold or more."""
+
+def _pairs(rows: list[tuple[int, int, float]]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["doc_id_a", "doc_id_b", "jaccard"])
+
+
+def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 2, threshold: float = 0.55, spanning: bool = False) -> DataFrame:
+    """Pairs of documents whose n-gram sets have a Jaccard similarity of threshold or more.
+
+    spanning: only as many pairs as connect what is connected.
+    """
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null")
-    bits = [f"s{i}" for i in range(SKETCH_WORDS)]
-    schema = "doc long, n int, m1 long, m2 long, keys array<long>, " + ", ".join(f"{b} long" for b in bits)
-    profiles = texts.mapInArrow(_profile(n, threshold), schema).where("n > 0")
+    profiles = texts.mapInArrow(_profile(n, threshold), "doc long, n int, m1 long, m2 long, keys array<long>").where("n > 0")
     profiles = S.written(profiles.selectExpr("*", "min(doc) over (partition by m1, m2) as rep"))
     equal = profiles.where("doc <> rep").select(F.col("rep").alias("doc_id_a"), F.col("doc").alias("doc_id_b"), F.lit(1.0).alias("jaccard")).distinct()
     alone = profiles.where("doc = rep")
-    # One shuffle of (key, id); keys of one document go before pairs are made.
-    met = alone.select(F.explode("keys").alias("key"), "doc").groupBy("key").agg(F.array_sort(F.collect_set("doc")).alias("ids")).where("size(ids) > 1")
-    pairs = met.select("ids", F.posexplode("ids").alias("i", "a")).where("i + 1 < size(ids)").select("a", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("b")).distinct()
-    sizes = alone.select("doc", "n", *bits).dropDuplicates(["doc"])
-    left = sizes.select(F.col("doc").alias("a"), F.col("n").alias("na"), *(F.col(b).alias(f"a{b}") for b in bits))
-    right = sizes.select(F.col("doc").alias("b"), F.col("n").alias("nb"), *(F.col(b).alias(f"b{b}") for b in bits))
-    hamming = " + ".join(f"bit_count(a{b} ^ b{b})" for b in bits)
-    fits = f"{hamming} <= (na + nb) * {(1 - threshold) / (1 + threshold)!r}D + 1e-6D and least(na, nb) >= {threshold!r}D * greatest(na, nb) - 1e-6D"
-    pairs = S.written(pairs.join(left, "a").join(right, "b").where(fits).select("a", "b"))
-    wanted = S.written(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
-    sets = S.written(S.filter_ids(texts, wanted, "doc", "left_semi").mapInArrow(_sets(n), "doc long, grams binary").dropDuplicates(["doc"]))
-    both = pairs.join(sets.withColumnsRenamed({"doc": "a", "grams": "ga"}), "a").join(sets.withColumnsRenamed({"doc": "b", "grams": "gb"}), "b")
-    near = both.select("a", "b", "ga", "gb").mapInArrow(_jaccard, "doc_id_a long, doc_id_b long, jaccard double").where(F.col("jaccard") >= threshold)
+    # One shuffle of (key, id); a key of one document goes, others give a star.
+    met = alone.select(F.explode("keys").alias("key"), "doc").groupBy("key").agg(F.collect_set("doc").alias("ids"), F.min("doc").alias("low")).where("size(ids) > 1")
+    stars = met.select("low", F.explode("ids").alias("doc")).where("low <> doc")
+    group = components(stars, "low", "doc")
+    # A group is compared in squares of about BLOCK grams a side: a set moves once for each
+    # square it is in, not once for each pair.
+    group = S.written(group.join(alone.select("doc", "n").dropDuplicates(["doc"]), "doc"))
+    parts = group.groupBy("root").agg(F.ceil(F.sum(F.col("n").cast("long")) / BLOCK).cast("int").alias("parts"))
+    split = group.join(parts, "root").selectExpr("doc", "root", "parts", "cast(pmod(xxhash64(doc), parts) as int) as c")
+    squares = split.select("doc", "root", "c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
+    squares = S.written(squares.selectExpr("doc", "xxhash64(root, least(c, o), greatest(c, o)) as block", "case when c = o then 2 when c < o then 0 else 1 end as side"))
+    wanted = group.select("doc")
+    sets = S.filter_ids(texts, wanted, "doc", "left_semi").mapInArrow(_sets(n), "doc long, grams binary, sketch binary").dropDuplicates(["doc"])
+    blocks = sets.join(squares, "doc").select("block", "side", "doc", "grams", "sketch")
+    near = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_compare(threshold, spanning), "doc_id_a long, doc_id_b long, jaccard double")
     return near.unionByName(equal)
 
 
@@ -214,5 +271,5 @@ def components(pairs: DataFrame, a: str = "doc_id_a", b: str = "doc_id_b") -> Da
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 2, threshold: float = 0.55) -> DataFrame:
     """docs without those that have a near copy of lower id in their group; rows with a null id stay."""
-    gone = components(near_pairs(docs, id_col, text_col, n, threshold)).where("doc <> root").select(F.col("doc").alias(id_col))
+    gone = components(near_pairs(docs, id_col, text_col, n, threshold, spanning=True)).where("doc <> root").select(F.col("doc").alias(id_col))
     return S.filter_ids(docs, S.written(gone.distinct()), id_col, "left_anti").select(docs.columns)
