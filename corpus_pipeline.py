@@ -3,18 +3,49 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodeframe.llm import _shared, near_join
+from lodeframe.llm import _shared, bpe, decontam, langid, near_join, pii
 from lodeframe.shipping import ship
 
 
+def in_a_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts of which no known language is the likely one."""
+    ship(spark)
+    return langid.keep_identified(docs, langid.fit(docs))
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of lowest id of each group of near copies."""
     ship(spark)
     return near_join.drop_near_copies(docs)
 
 
-STAGES = [("ngram_jaccard_join", one_of_each_group)]
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a test item, as a copy or edited."""
+    ship(spark)
+    return decontam.drop_leaks(docs, _shared.table(spark, sf_dir, "benchmark"))
+
+
+def identifiers_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal and secret identifiers by their kind; n_chars is the new length."""
+    ship(spark)
+    return pii.mask(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document that is left."""
+    ship(spark)
+    return bpe.encode(docs)
+
+
+STAGES = [
+    ("language_id", in_a_known_language),
+    ("ngram_jaccard_join", one_of_each_group),
+    ("benchmark_decontamination", without_benchmark),
+    ("pii_masking", identifiers_masked),
+    ("bpe_encoding", encoded),
+]
 
 #: Several stages can't be put in SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
