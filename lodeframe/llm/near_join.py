@@ -13,10 +13,11 @@ distance never exceeds the symmetric difference. The join has these steps:
    smaller than d + 1: differences fall into blocks at random, so about k * exp(-d/k)
    blocks stay untouched. This makes the search approximate there, at an expected
    recall of 0.95 right at t and higher above it; tests measure it.
-3. Documents that met, directly or through others, are a group; the groups' sets are made
-   again from the texts and moved once to where their group is compared.
-4. There a 512-bit sketch of the whole set drops pairs whose Hamming distance exceeds d
-   (exact), and the sets of the others are compared.
+3. Where documents meet, 256-bit sketches of the grams of their band are compared: a pair
+   whose Hamming distance is too high for d (see most_apart) goes. Documents
+   that what is left connects are a group; only edges that span it move on.
+4. The groups' sets are made again from the texts, each moves to where its group is
+   compared, and there all pairs of the group are compared.
 
 Result: doc_id_a < doc_id_b, jaccard. Documents with equal sets are paired with the lowest
 id among them (jaccard 1), and only that one is paired with others, so thousands of
@@ -42,7 +43,7 @@ from lodeframe.llm import _shared as S
 
 #: Sampled grams of a set at its band's lower edge, and blocks per expected difference.
 SAMPLE, PER_BLOCK, SURE = 96, 2.1, 8
-SKETCH_WORDS = 8
+SKETCH_WORDS = 4
 #: Grams of one side of a square of comparisons (8 bytes each).
 BLOCK = 1_000_000
 
@@ -76,45 +77,53 @@ def band_plan(band: int, t: float) -> tuple[int, int]:
     return modulus, max(SURE, round(2 * low / modulus * (1 - t) / (1 + t) / PER_BLOCK))
 
 
-def block_keys(grams: np.ndarray, owner: np.ndarray, sizes: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the non-empty sketch blocks of each set in its two bands, and their owners.
+def sampled_blocks(grams: np.ndarray, owner: np.ndarray, sizes: np.ndarray, t: float, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each set's own band (step 0) or the next (1): the keys of its sketch's non-empty
+    blocks and their owners, and each set's sampled grams and their number by set.
 
     A block's parity bits are held as the XOR of its grams' hashes: the same for equal bits.
     """
-    own = np.floor(np.log(np.maximum(sizes, 1)) / -math.log(t) + 1e-9).astype(np.int64)
-    out_keys, out_owner = [], []
+    band = np.floor(np.log(np.maximum(sizes, 1)) / -math.log(t) + 1e-9).astype(np.int64) + step
+    plan = {int(b): band_plan(int(b), t) for b in np.unique(band)}
+    modulus = np.array([plan[int(b)][0] for b in band], dtype=np.uint64)
+    blocks = np.array([plan[int(b)][1] for b in band], dtype=np.uint64)
     spread = S.mix(grams)
-    for step in (0, 1):
-        band = own + step
-        plan = {int(b): band_plan(int(b), t) for b in np.unique(band)}
-        modulus = np.array([plan[int(b)][0] for b in band], dtype=np.uint64)
-        blocks = np.array([plan[int(b)][1] for b in band], dtype=np.uint64)
-        kept = (spread >> np.uint64(40)) % modulus[owner] == 0
-        g, o = spread[kept], owner[kept]
-        block = (S.mix(g + np.uint64(77)) >> np.uint64(20)) % blocks[o]
-        order = np.lexsort((block, o))
-        g, o, block = g[order], o[order], block[order]
-        if not len(g):
-            continue
-        new = np.concatenate([[True], (o[1:] != o[:-1]) | (block[1:] != block[:-1])])
-        first = np.flatnonzero(new)
-        content = np.bitwise_xor.reduceat(S.mix(g + np.uint64(13)), first)
-        count = np.diff(np.append(first, len(g)))
-        key = S.mix(content + S.mix(block[first] * np.uint64(1009) + band[o[first]].astype(np.uint64)))
-        # A lone gram says little where k is not d + 1, and phrases that many share would meet in it.
-        telling = (count > 1) | (blocks[o[first]] < SURE)
-        out_keys.append(key[telling])
-        out_owner.append(o[first][telling])
-    if not out_keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(out_keys), np.concatenate(out_owner)
+    kept = (spread >> np.uint64(40)) % modulus[owner] == 0
+    g, o = spread[kept], owner[kept]
+    block = (S.mix(g + np.uint64(77)) >> np.uint64(20)) % blocks[o]
+    order = np.lexsort((block, o))
+    g, o, block = g[order], o[order], block[order]
+    if not len(g):
+        return np.zeros(0, np.uint64), o, g, o
+    first = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (block[1:] != block[:-1])]))
+    content = np.bitwise_xor.reduceat(S.mix(g + np.uint64(13)), first)
+    count = np.diff(np.append(first, len(g)))
+    key = S.mix(content + S.mix(block[first] * np.uint64(1009) + band[o[first]].astype(np.uint64)))
+    # A lone gram says little where k is not d + 1, and phrases that many share would meet in it.
+    telling = (count > 1) | (blocks[o[first]] < SURE)
+    return key[telling], o[first][telling], g, o
 
 
 def sketches(grams: np.ndarray, owner: np.ndarray, docs: int) -> np.ndarray:
-    """docs x SKETCH_WORDS parity words."""
-    bit = S.mix(grams + np.uint64(5)) >> np.uint64(55)
-    odd = np.bincount(owner * 512 + bit.astype(np.int64), minlength=docs * 512)[: docs * 512] & 1
-    return np.packbits(odd.astype(np.uint8).reshape(docs, 512), axis=1).view(np.int64)
+    """docs x SKETCH_WORDS words of parity bits."""
+    width = 64 * SKETCH_WORDS
+    bit = (S.mix(grams + np.uint64(5)) >> np.uint64(20)) % np.uint64(width)
+    odd = np.bincount(owner * width + bit.astype(np.int64), minlength=docs * width)[: docs * width] & 1
+    return np.packbits(odd.astype(np.uint8).reshape(docs, width), axis=1).view(np.uint64)
+
+
+def most_apart(sizes: np.ndarray, t: float, sampled: bool) -> np.ndarray:
+    """The highest Hamming distance of the sketches of two sets of sizes (their sum) that reach t.
+
+    For whole sets the symmetric difference bounds it. For samples two standard deviations
+    are added to their difference d, and to the distance that d random bits give.
+    """
+    d = sizes * ((1 - t) / (1 + t)) + 1e-6
+    if not sampled:
+        return d
+    width = 64 * SKETCH_WORDS
+    d = d + 2 * np.sqrt(d)
+    return width / 2 * (1 - np.exp(-2 * d / width)) + np.sqrt(width * (1 - np.exp(-4 * d / width)))
 
 
 def _profile(n: int, t: float):
@@ -129,9 +138,45 @@ def _profile(n: int, t: float):
                 np.cumsum(S.mix(grams * np.uint64(2 * salt + 1) + np.uint64(salt)), out=total[1:])
                 at = np.concatenate([[0], np.cumsum(sizes)])
                 marks.append((total[at[1:]] - total[at[:-1]]).view(np.int64))
-            keys, of = block_keys(grams, owner, sizes, t)
-            order = np.argsort(of, kind="stable")
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes.astype(np.int32)), *map(pa.array, marks), S.lists(keys[order].view(np.int64), np.bincount(of, minlength=docs), pa.int64())], names=["doc", "n", "m1", "m2", "keys"])
+            columns = []
+            for step in (0, 1):
+                keys, of, sample, by = sampled_blocks(grams, owner, sizes, t, step)
+                number = np.bincount(by, minlength=docs)
+                # Exact sets carry their size below zero: their bound needs no deviations.
+                number = np.where(number == sizes, -number, number).astype(np.int32)
+                columns += [S.lists(keys.view(np.int64), np.bincount(of, minlength=docs), pa.int64()), pa.array(number), S.blobs(sketches(sample, by, docs).ravel(), np.full(docs, SKETCH_WORDS))]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes.astype(np.int32)), *map(pa.array, marks), *columns], names=["doc", "n", "m1", "m2", "keys0", "k0", "s0", "keys1", "k1", "s1"])
+
+    return run
+
+
+def _linked(t: float):
+    """Edges (low, doc) that connect what is likely similar among the documents of each key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            us: list[int] = []
+            vs: list[int] = []
+            for x in batch.column(0):
+                rows = x.as_py()
+                doc = [r["doc"] for r in rows]
+                size = np.array([r["k"] for r in rows])
+                exact = size < 0
+                size = np.abs(size).astype(np.int64)
+                bits = np.frombuffer(b"".join(r["s"] for r in rows), np.uint64).reshape(-1, SKETCH_WORDS)
+                todo, left = [], np.arange(len(doc))
+                while len(left):
+                    if not todo:
+                        todo, left = [left[0]], left[1:]
+                    i = todo.pop()
+                    apart = np.bitwise_count(bits[left] ^ bits[i]).sum(axis=1)
+                    near = apart <= np.where(exact[left] & exact[i], most_apart(size[left] + size[i], t, False), most_apart(size[left] + size[i], t, True))
+                    for j in left[near]:
+                        us.append(doc[i])
+                        vs.append(doc[j])
+                        todo.append(j)
+                    left = left[~near]
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     return run
 
@@ -140,8 +185,7 @@ def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in S.chunks(batches):
             grams, sizes = gram_sets(part.column(1), n)
-            bits = sketches(grams, np.repeat(np.arange(len(sizes)), sizes), len(sizes))
-            yield pa.RecordBatch.from_arrays([part.column(0), S.blobs(grams, sizes), S.blobs(bits.ravel(), np.full(len(sizes), SKETCH_WORDS))], names=["doc", "grams", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column(0), S.blobs(grams, sizes)], names=["doc", "grams"])
 
     return run
 
@@ -164,14 +208,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _compare(t: float, spanning: bool):
-    """Pairs of each block (block, side, doc, grams, sketch); side 0 and 1: only pairs across, 2: all pairs."""
+    """Pairs of each block (block, side, doc, grams); side 0 and 1: only pairs across, 2: all pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, float]] = []
         for rows in _blocks(batches):
             doc, side = rows.column("doc").to_pylist(), rows.column("side").to_numpy()
             grams = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("grams")]
-            bits = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS)
             size = np.array([len(g) for g in grams])
             root = list(range(len(doc)))
 
@@ -185,10 +228,7 @@ def _compare(t: float, spanning: bool):
                 low, high = np.minimum(size[i], size[i + 1 :]), np.maximum(size[i], size[i + 1 :])
                 likely = low >= t * high - 1e-6
                 likely &= (side[i] == 2) | (side[i + 1 :] != side[i])
-                others = np.flatnonzero(likely) + i + 1
-                # Hamming distance of the sketches: never above the symmetric difference.
-                apart = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1)
-                for j in others[apart <= (size[i] + size[others]) * ((1 - t) / (1 + t)) + 1e-6]:
+                for j in np.flatnonzero(likely) + i + 1:
                     if spanning and find(i) == find(j):
                         continue
                     both = len(grams[i]) + len(grams[j]) - len(np.unique(np.concatenate([grams[i], grams[j]])))
@@ -215,14 +255,16 @@ def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spanning: only as many pairs as connect what is connected.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null")
-    profiles = texts.mapInArrow(_profile(n, threshold), "doc long, n int, m1 long, m2 long, keys array<long>").where("n > 0")
+    bands = ", ".join(f"keys{i} array<long>, k{i} int, s{i} binary" for i in (0, 1))
+    profiles = texts.mapInArrow(_profile(n, threshold), f"doc long, n int, m1 long, m2 long, {bands}").where("n > 0")
     profiles = S.written(profiles.selectExpr("*", "min(doc) over (partition by m1, m2) as rep"))
     equal = profiles.where("doc <> rep").select(F.col("rep").alias("doc_id_a"), F.col("doc").alias("doc_id_b"), F.lit(1.0).alias("jaccard")).distinct()
     alone = profiles.where("doc = rep")
-    # One shuffle of (key, id); a key of one document goes, others give a star.
-    met = alone.select(F.explode("keys").alias("key"), "doc").groupBy("key").agg(F.collect_set("doc").alias("ids"), F.min("doc").alias("low")).where("size(ids) > 1")
-    stars = met.select("low", F.explode("ids").alias("doc")).where("low <> doc")
-    group = components(stars, "low", "doc")
+    # One shuffle of (key, id, sketch). Where documents meet, their sketches are compared at
+    # once, and only edges that connect likely pairs go on: as many as documents at most.
+    keyed = alone.select(F.explode("keys0").alias("key"), "doc", F.col("k0").alias("k"), F.col("s0").alias("s")).unionByName(alone.select(F.explode("keys1").alias("key"), "doc", F.col("k1").alias("k"), F.col("s1").alias("s")))
+    met = keyed.groupBy("key").agg(F.collect_set(F.struct("doc", "k", "s")).alias("met")).where("size(met) > 1").select("met")
+    group = components(met.mapInArrow(_linked(threshold), "u long, v long"), "u", "v")
     # A group is compared in squares of about BLOCK grams a side: a set moves once for each
     # square it is in, not once for each pair.
     group = S.written(group.join(alone.select("doc", "n").dropDuplicates(["doc"]), "doc"))
@@ -231,8 +273,8 @@ def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     squares = split.select("doc", "root", "c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
     squares = S.written(squares.selectExpr("doc", "xxhash64(root, least(c, o), greatest(c, o)) as block", "case when c = o then 2 when c < o then 0 else 1 end as side"))
     wanted = group.select("doc")
-    sets = S.filter_ids(texts, wanted, "doc", "left_semi").mapInArrow(_sets(n), "doc long, grams binary, sketch binary").dropDuplicates(["doc"])
-    blocks = sets.join(squares, "doc").select("block", "side", "doc", "grams", "sketch")
+    sets = S.filter_ids(texts, wanted, "doc", "left_semi").mapInArrow(_sets(n), "doc long, grams binary").dropDuplicates(["doc"])
+    blocks = sets.join(squares, "doc").select("block", "side", "doc", "grams")
     near = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_compare(threshold, spanning), "doc_id_a long, doc_id_b long, jaccard double")
     return near.unionByName(equal)
 
