@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from lodeframe.sources.scratch import scratch
+
 
 def stream_files(spark: SparkSession, path: str, schema: T.StructType, kind: str = "parquet", files_at_once: int = 100) -> DataFrame:
     return spark.readStream.format(kind).schema(schema).option("maxFilesPerTrigger", files_at_once).load(path)
 
 
 def upsert_stream(df: DataFrame, target: str, checkpoint: str, key: str, seq: str, day: str) -> StreamingQuery:
-    """Merges each batch into a table partitioned by day; only the batch's days are read and rewritten.
-    """
+    """Merges each batch into a table partitioned by day; only the batch's days are read and rewritten."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -24,7 +25,11 @@ def upsert_stream(df: DataFrame, target: str, checkpoint: str, key: str, seq: st
         if spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)):
             old = spark.read.schema(batch.schema).parquet(target).where(F.col(day).isin(days))
         both = batch if old is None else old.unionByName(batch)
-        merged = both.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r").checkpoint()
+        merged = both.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+        # A partition can't be overwritten while it is read: the merged rows are a table first.
+        path = scratch(spark, "merge")
+        merged.write.parquet(path)
+        merged = spark.read.schema(batch.schema).parquet(path)
         merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(target)
 
     return df.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
