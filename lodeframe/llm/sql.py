@@ -10,10 +10,10 @@ s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 1 THEN w
         ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS g FROM w WHERE len(w) > 0),
 r AS (SELECT g, min(doc_id) AS rep, len(g) AS n FROM s GROUP BY g),
 e AS (SELECT rep, n, unnest(g) AS gram FROM r),
-c AS (SELECT a.rep AS a, b.rep AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS both
+c AS (SELECT a.rep AS a, b.rep AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS same
       FROM e a JOIN e b ON a.gram = b.gram AND a.rep < b.rep GROUP BY 1, 2)
-SELECT a AS doc_id_a, b AS doc_id_b, both::DOUBLE / (na + nb - both) AS jaccard FROM c
-WHERE both::DOUBLE / (na + nb - both) >= 0.55::DOUBLE
+SELECT a AS doc_id_a, b AS doc_id_b, same::DOUBLE / (na + nb - same) AS jaccard FROM c
+WHERE same::DOUBLE / (na + nb - same) >= 0.55::DOUBLE
 UNION ALL
 SELECT r.rep, s.doc_id, 1.0::DOUBLE FROM s JOIN r USING (g) WHERE s.doc_id <> r.rep
 """
