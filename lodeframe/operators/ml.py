@@ -77,4 +77,19 @@ def score_corpus(model: PipelineModel, df: DataFrame, stratum: str, name: str =
     return score(model, df.where(F.col(stratum) != "negative"), name)
 
 
-__all__ = ["char_grams", "class_weights", "cross_validate", "score", "score_corpus", "text_classifier", "word_grams"]
+def compare_scorers(df: DataFrame, scorers: dict[str, Column | Pipeline], label: str, key: str, ks: Sequence[int] = (50, 100, 200), k: int = 5) -> DataFrame:
+    """Average precision and precision at k of each scorer: a column, or a model scored out of fold."""
+    from lodeframe.operators.stats import ranking_metrics
+
+    out = None
+    for name, scorer in scorers.items():
+        if isinstance(scorer, Pipeline):
+            rows = cross_validate(df, scorer, label, key, k).select(key, label, F.col("oda_prob").alias("score"))
+        else:
+            rows = df.select(key, label, scorer.alias("score"))
+        one = ranking_metrics(rows, label, "score", key, ks).select(F.lit(name).alias("scorer"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+__all__ = ["char_grams", "class_weights", "compare_scorers", "cross_validate", "score", "score_corpus", "text_classifier", "word_grams"]

@@ -882,3 +882,17 @@ def x01_windowed_counts(t: Tables) -> DataFrame:
 
     out = windowed_counts(t.events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "value")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@q()
+def m15_compare_scorers(t: Tables) -> DataFrame:
+    from lodeframe.operators import ml
+
+    rows, pipeline = _classifier(t)
+    rows = rows.withColumn("label", F.col("label").cast("int"))
+    return ml.compare_scorers(rows, {"text": pipeline, "length": F.length("text").cast("double")}, "label", "doc_id", (50,), k=2)
+
+
+@q("SELECT 'documents' AS name, unnest(['doc_id', 'text', 'lang', 'source', 'n_chars']) AS column_name")
+def s14_header_peek(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame([("documents", c) for c in t.documents.columns], "name string, column_name string")

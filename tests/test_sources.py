@@ -41,3 +41,16 @@ def test_stream_upsert_is_the_batch_upsert(spark, tmp_path):
         ingest.upsert_stream(s, str(tmp_path / "out"), str(tmp_path / "cp"), "k", "seq", "day").awaitTermination()
     got = {r.k: r.v for r in spark.read.parquet(str(tmp_path / "out")).select(F.col("k"), F.col("v")).collect()}
     assert got == {"a": "z", "b": "y", "c": "w"}
+
+
+def test_spreadsheets_are_text_tables(spark, tmp_path):
+    import zipfile
+
+    from lodeframe.sources.xlsx import read_xlsx
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>id</t></si><si><t>제목</t></si><si><r><t>a</t></r><r><t>b</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c></row><row r="2"><c r="A2"><v>7</v></c><c r="B2" t="s"><v>2</v></c></row><row r="3"><c r="B3" t="inlineStr"><is><t>c</t></is></c></row></sheetData></worksheet>')
+    rows = read_xlsx(spark, str(tmp_path), renamed={"제목": "title"}).collect()
+    assert [(r.id, r.title) for r in rows] == [("7", "ab"), (None, "c")]
