@@ -61,6 +61,12 @@ def filter_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if small else ids.hint("merge"), key, how)
 
 
+def few(rows: DataFrame, lists: str, most: int = 4 * BROADCAST_IDS) -> bool:
+    """Whether a written table has so few list entries (and rows) that it may be broadcast."""
+    total = rows.agg(F.sum(F.size(lists) + 2)).first()[0]
+    return (total or 0) <= most
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, elementwise."""
     x = x ^ (x >> U64(30))

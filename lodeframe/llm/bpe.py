@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,8 @@ from lodeframe.llm import _shared as S
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the public byte-level vocabularies cut texts into pieces.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces a worker remembers; then it forgets all and starts again.
-REMEMBERED = 300_000
+#: Pieces, and strings of one or more, that a worker remembers (twice as many at most).
+REMEMBERED_PIECES, REMEMBERED_STRINGS = 600_000, 200_000
 _MIXED = re.compile(r"\s (?:\s|$)").search
 
 
@@ -80,34 +81,48 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class _Pieces(dict):
-    """A piece's token ids as bytes of int32, made when first asked for."""
+class _Remembered(dict):
+    """Results by string. At most entries are young; then they become the old ones, of which
+    those that are asked for are young again, so frequent strings stay."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, entries: int):
+        self.entries, self.old = entries, {}
+
+    def make(self, string: str) -> bytes:
+        raise NotImplementedError
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(merge(piece.encode("utf-8", "surrogatepass"), self.ranks), np.int32).tobytes()
-        if len(piece) <= 40:
-            if len(self) >= REMEMBERED:
+    def __missing__(self, string: str) -> bytes:
+        ids = self.old.get(string)
+        if ids is None:
+            ids = self.make(string)
+        if len(string) <= 40:
+            if len(self) >= self.entries:
+                self.old = dict(self)
                 self.clear()
-            self[piece] = ids
+            self[string] = ids
         return ids
 
 
-class _Strings(dict):
+class _Pieces(_Remembered):
+    """A piece's token ids as bytes of int32."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__(REMEMBERED_PIECES)
+        self.ranks = ranks
+
+    def make(self, string: str) -> bytes:
+        return array("i", merge(string.encode("utf-8", "surrogatepass"), self.ranks)).tobytes()
+
+
+class _Strings(_Remembered):
     """The same for a string between two blanks, the blank before it included."""
 
     def __init__(self, pieces: _Pieces):
+        super().__init__(REMEMBERED_STRINGS)
         self.pieces, self.cut = pieces, regex.compile(PATTERN).findall
 
-    def __missing__(self, string: str) -> bytes:
-        ids = b"".join(map(self.pieces.__getitem__, self.cut(" " + string)))
-        if len(string) <= 40:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[string] = ids
-        return ids
+    def make(self, string: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.cut(" " + string)))
 
 
 class Encoder:

@@ -181,8 +181,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     kept = found.where("df > 0").withColumn("place", F.row_number().over(rarity)).withColumn("all", F.count("*").over(Window.partitionBy("item"))).where(F.col("place") <= F.ceil(F.col("all") * rare_share)).select("seed", "item", "at")
     candidates = hits.join(F.broadcast(kept), "seed").groupBy("doc").agg(F.collect_set(F.struct("item", (F.col("pos") - F.col("at")).alias("diagonal"))).alias("found"))
     candidates = S.written(candidates)
-    small = candidates.count() <= S.BROADCAST_IDS // 10
-    near = texts.join(F.broadcast(candidates) if small else candidates, "doc").select("doc", "text", "found")
+    near = texts.join(F.broadcast(candidates) if S.few(candidates, "found", S.BROADCAST_IDS) else candidates, "doc").select("doc", "text", "found")
     aligned = near.mapInArrow(_align({k: x for k, x in enumerate(items) if len(x)}, min_score), LEAKS)
     names = spark.createDataFrame(pa.table({"item_id": pa.array(range(len(ids)), pa.int64()), "name": pa.array(ids, pa.int64())}))
     best = Window.partitionBy("doc_id", "name").orderBy(F.desc("score"), "first_word", "end_word", "item_id")

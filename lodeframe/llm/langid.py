@@ -133,7 +133,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     chosen = named.select("id", "lang").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("id", "lang")
     sample = named.join(F.broadcast(S.written(chosen)), ["id", "lang"]).select("lang", "text").distinct()
     sums: dict[str, np.ndarray] = {}
-    for row in sample.coalesce(8).mapInArrow(_bundles(dim, n, seed), "lang string, bundle array<double>").collect():
+    # The sample is bounded, and moved to a few tasks; the scan before it keeps its parallelism.
+    for row in sample.repartition(8).mapInArrow(_bundles(dim, n, seed), "lang string, bundle array<double>").collect():
         sums[row.lang] = sums.get(row.lang, 0) + np.array(row.bundle)
     return {k: (v / (np.linalg.norm(v) or 1)).astype(np.float32) for k, v in sorted(sums.items())}
 

@@ -33,7 +33,7 @@ from lodeframe.llm import _shared as S
 
 _FOUND = re.compile(r"(?<!\S)(?=\S*[0-9@])\S+")
 #: Groups of digits with blanks between them, such as a telephone number: one candidate.
-_PHRASE = re.compile(r"(?<![\w.-])\+?\(?\d{1,4}\)?(?: \(?\d{2,4}\)?(?:[.-]\d{2,4})*)+(?![\w-])")
+_PHRASE = re.compile(r"(?<![\w.-])\+?\(?\d{1,4}\)?(?: \(?\d{2,4}\)?(?:[.-]\d{2,4}){0,2}(?![\w-]|\.\d))+")
 _WORD = re.compile(r"[^\W_]+")
 _AROUND = "\"'`.,;:!?()[]{}<>&%$#*|=~^/\\-_+"
 _RUN = re.compile(r"[^\W_]+")
@@ -90,7 +90,8 @@ def _core(text: str, m: re.Match[str]) -> tuple[int, int]:
 def occurrences(text: str) -> list[tuple[int, int, str, str | None, list[str]]]:
     """(begin, stop, entity, seed kind, patterns) of each candidate of a text."""
     out = []
-    phrases = [m.span() for m in _PHRASE.finditer(text)]
+    # A group goes as a whole unless one of its parts is known by itself and the whole isn't.
+    phrases = [m.span() for m in _PHRASE.finditer(text) if seed_kind(m[0]) or not any(seed_kind(x.strip(_AROUND)) for x in m[0].split(" "))]
     taken = set()
     for a, b in phrases:
         taken.update(range(a, b))
@@ -154,21 +155,22 @@ def mask_text(text: str, spans: list[tuple[int, int, str, str]]) -> str:
 
 def mask(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """docs with identifiers replaced; occurrences come back to a text by its hash, so ids may be null or repeat."""
+    # Names that no column of docs has.
+    key, places = (next(n for i in range(10**6) if (n := f"{base}{i}") not in docs.columns) for base in ("text_hash_", "text_spans_"))
     hashed = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
-    spans = identifiers(hashed, "h", "t", **options).groupBy("doc_id").agg(F.collect_set(F.struct("begin", "stop", "kind", "entity")).alias("__spans"))
-    spans = S.written(spans.withColumnRenamed("doc_id", "__hash"))
-    small = spans.count() <= S.BROADCAST_IDS // 10
-    joined = docs.withColumn("__hash", F.xxhash64(text_col)).join(F.broadcast(spans) if small else spans, "__hash", "left").drop("__hash")
+    spans = identifiers(hashed, "h", "t", **options).groupBy("doc_id").agg(F.collect_set(F.struct("begin", "stop", "kind", "entity")).alias(places))
+    spans = S.written(spans.withColumnRenamed("doc_id", key))
+    joined = docs.withColumn(key, F.xxhash64(text_col)).join(F.broadcast(spans) if S.few(spans, places, S.BROADCAST_IDS) else spans, key, "left").drop(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             place = batch.schema.get_field_index(text_col)
-            found = batch.column(batch.schema.get_field_index("__spans"))
+            found = batch.column(batch.schema.get_field_index(places))
             texts = batch.column(place)
             if found.null_count < len(found):
                 new = [t if s is None or t is None else mask_text(t, [(x["begin"], x["stop"], x["kind"], x["entity"]) for x in s]) for t, s in zip(texts.to_pylist(), found.to_pylist(), strict=True)]
                 texts = pa.array(new, texts.type)
-            keep = [i for i, name in enumerate(batch.schema.names) if name != "__spans"]
+            keep = [i for i, name in enumerate(batch.schema.names) if name != places]
             yield pa.RecordBatch.from_arrays([texts if i == place else batch.column(i) for i in keep], names=[batch.schema.names[i] for i in keep])
 
-    return joined.select(*docs.columns, "__spans").mapInArrow(run, docs.schema)
+    return joined.select(*docs.columns, places).mapInArrow(run, docs.schema)

@@ -155,8 +155,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     single = S.filter_ids(texts, copies, "doc", "left_anti")
     seeds = _in_two_documents(single.mapInArrow(_joined(_samples(half)), triple))
     seeds = S.written(seeds.groupBy("doc").agg(F.collect_set("pos").alias("found")))
-    small = seeds.count() <= S.BROADCAST_IDS // 40
-    near = single.join(F.broadcast(seeds) if small else seeds, "doc").select("doc", "text", "found")
+    near = single.join(F.broadcast(seeds) if S.few(seeds, "found") else seeds, "doc").select("doc", "text", "found")
     level = S.written(_in_two_documents(near.mapInArrow(_joined(_doubled(half)), triple)).distinct())
     found, length = level.select("doc", "pos", F.lit(min_words).alias("len")), min_words
     while True:
