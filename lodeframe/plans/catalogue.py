@@ -896,3 +896,48 @@ def m15_compare_scorers(t: Tables) -> DataFrame:
 @q("SELECT 'documents' AS name, unnest(['doc_id', 'text', 'lang', 'source', 'n_chars']) AS column_name")
 def s14_header_peek(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([("documents", c) for c in t.documents.columns], "name string, column_name string")
+
+
+@q("SELECT doc_id::VARCHAR AS doc_id, lang FROM documents WHERE doc_id < 300")
+def s02_s04_csv_files_by_name(t: Tables) -> DataFrame:
+    from lodeframe.sources.scratch import scratch
+
+    path = scratch(t.spark, "files")
+    rows = t.documents.where("doc_id < 300").select(F.col("doc_id").cast("string").alias("doc_id"), "lang")
+    files.write_csv(rows, f"{path}/2020")
+    files.write_csv(rows.limit(5), f"{path}/2021_derived")
+    return files.read_csv(t.spark, f"{path}/2020", ["doc_id", "lang"], skip_bad=True, glob="part-*.csv")
+
+
+@q("SELECT event_id, event_type, (ts::DATE)::VARCHAR AS day FROM events WHERE event_id < 400")
+def s05_json_day_files(t: Tables) -> DataFrame:
+    from lodeframe.sources.scratch import scratch
+
+    path = scratch(t.spark, "days")
+    rows = t.events.where("event_id < 400").select("event_id", "event_type", F.col("ts").cast("date").cast("string").alias("day"))
+    rows.groupBy("day").agg(F.to_json(F.collect_list(F.struct("event_id", "event_type", "day"))).alias("value")).select("value", "day").write.partitionBy("day").text(path)
+    return files.read_json_days(t.spark, f"{path}/*", rows.schema)
+
+
+@q("SELECT doc_id, trim(source || ' ' || substr(text, 1, 500)) AS scorer_text, substr(source || ' ' || text, 1, 512) AS model_text, round_even(n_chars / 8.0::DOUBLE, 0) AS half_even, round(n_chars / 8.0::DOUBLE, 0) AS half_up FROM documents")
+def p10_p18_builders_and_rounding(t: Tables) -> DataFrame:
+    eighth = F.col("n_chars") / 8.0
+    return t.documents.select("doc_id", F.trim(F.concat("source", F.lit(" "), F.substring("text", 1, 500))).alias("scorer_text"), F.substring(F.concat("source", F.lit(" "), "text"), 1, 512).alias("model_text"), F.bround(eighth, 0).alias("half_even"), F.round(eighth, 0).alias("half_up"))
+
+
+@q(f"{ART}, {PROJECTS}, h AS (SELECT year, sdg, count(*) AS hand FROM art WHERE id % 2 = 0 GROUP BY ALL), m AS (SELECT year, sdg, count(*) AS ml FROM art WHERE id % 3 <> 0 GROUP BY ALL) SELECT year, sdg, hand, ml FROM h JOIN m USING (year, sdg)")
+def j10_hand_and_model_cells(t: Tables) -> DataFrame:
+    a = t.art()
+    hand = a.where("id % 2 = 0").groupBy("year", "sdg").agg(F.count("*").alias("hand"))
+    model = a.where("id % 3 <> 0").groupBy("year", "sdg").agg(F.count("*").alias("ml"))
+    return hand.join(model, ["year", "sdg"]).dropna()
+
+
+@q()
+def m13_score_corpus(t: Tables) -> DataFrame:
+    from lodeframe.operators import ml
+
+    rows, pipeline = _classifier(t)
+    corpus = _signals(t).select("doc_id", "stratum").join(t.documents.select("doc_id", F.substring("text", 1, 500).alias("text")), "doc_id")
+    scored = ml.score_corpus(pipeline.fit(rows), corpus.withColumn("grams", ml.word_grams(F.col("text"))), "stratum")
+    return scored.select("doc_id", "stratum", "precision_prob", "precision_relevant")
