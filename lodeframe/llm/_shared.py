@@ -23,7 +23,7 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 _GRAM = 0xD6E8FEB86659FD93 | 1
 _GRAM_INV = pow(_GRAM, -1, 1 << 64)
 #: Bytes of text cut and hashed at once; bounds a worker's memory.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 #: Ids a semi or anti join may broadcast; beyond it both sides are shuffled.
 BROADCAST_IDS = 2_000_000
 
@@ -168,6 +168,8 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
             stop = max(begin + 1, int(np.searchsorted(at, at[begin] + CHUNK_BYTES, side="right")) - 1)
             yield batch.slice(begin, stop - begin)
             begin = stop
+    # Workers are used again by other stages: what this one no longer needs goes back.
+    pa.default_memory_pool().release_unused()
 
 
 def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:

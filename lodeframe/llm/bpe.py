@@ -36,7 +36,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the public byte-level vocabularies cut texts into pieces.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces, and strings of one or more, that a worker remembers (twice as many at most).
-REMEMBERED_PIECES, REMEMBERED_STRINGS = 300_000, 80_000
+REMEMBERED_PIECES, REMEMBERED_STRINGS = 200_000, 40_000
 _MIXED = re.compile(r"\s (?:\s|$)").search
 
 
