@@ -1,11 +1,11 @@
 """Operator 1: benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
 
-1. Seeds: the word n-grams of the test items. Their document frequency is counted over the
-   whole corpus; of each item the rarest share (at least one) is kept. The rule is
-   relative to the item, so a test item that leaked into thousands of documents keeps
-   seeds, while phrases that are common in the corpus don't make candidates.
-2. Join: a kept seed in a document gives a candidate (document, item, diagonal).
-   Candidates close to each other on the diagonal are one.
+1. Seeds: all word n-grams of the test items. None is left out for being frequent in the
+   corpus: copies of an item raise the frequency of the n-grams they share, so a choice by
+   frequency would let a full copy hide an edited one.
+2. Join: a seed in a document gives a candidate (document, item, diagonal). Candidates
+   close to each other on the diagonal are one. Those whose passage holds too few of the
+   item's words to reach min_score by any alignment end here.
 3. Alignment: the item's words against the passage around the diagonal, local alignment
    with match +2, mismatch -1, gap -1. score = best / (2 * words of the item): 1 for an
    exact copy, about 1 - 1.5 e for a share e of edited words.
@@ -145,6 +145,11 @@ def _align(items: dict[int, np.ndarray], min_score: float):
                     where = start[:, None] + np.arange(width)
                     valid = (where >= w.first[doc][:, None]) & (where < w.first[doc + 1][:, None])
                     passages = w.hashes[np.clip(where, 0, len(w.hashes) - 1)]
+                    # A word scores 2 at most, so fewer of the item's words than this can't reach min_score.
+                    able = (np.isin(passages, words) & valid).sum(axis=1) >= min_score * len(words)
+                    if not able.any():
+                        continue
+                    doc, start, passages, valid = doc[able], start[able], passages[able], valid[able]
                     score, first, end = smith_waterman(words, passages, valid)
                     begin = start - w.first[doc]
                     for k in np.flatnonzero(score >= min_score * 2 * len(words)):
@@ -158,7 +163,7 @@ def _align(items: dict[int, np.ndarray], min_score: float):
 LEAKS = "doc_id long, item_id long, score double, first_word int, end_word int"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 3, rare_share: float = 0.5, min_score: float = 0.5, max_item_words: int = 20_000_000) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 3, min_score: float = 0.5, max_item_words: int = 20_000_000) -> DataFrame:
     """The test items that documents hold, as a copy or edited."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null")
@@ -174,12 +179,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     number = {s: k for k, s in enumerate(distinct)}
     hits = S.written(texts.mapInArrow(_hits(distinct), "doc long, seed int, pos int"))
     seeds = spark.createDataFrame(pa.table({"seed": pa.array([number[p[:2]] for p in places], pa.int32()), "item": pa.array([p[2] for p in places], pa.int32()), "at": pa.array([p[3] for p in places], pa.int32())}))
-    frequency = hits.groupBy("seed").agg(F.countDistinct("doc").alias("df"))
-    rarity = Window.partitionBy("item").orderBy("df", "at")
-    found = seeds.join(frequency, "seed", "left").fillna(0, ["df"])
-    # Of the seeds that occur at all, the rarest share of each item.
-    kept = found.where("df > 0").withColumn("place", F.row_number().over(rarity)).withColumn("all", F.count("*").over(Window.partitionBy("item"))).where(F.col("place") <= F.ceil(F.col("all") * rare_share)).select("seed", "item", "at")
-    candidates = hits.join(F.broadcast(kept), "seed").groupBy("doc").agg(F.collect_set(F.struct("item", (F.col("pos") - F.col("at")).alias("diagonal"))).alias("found"))
+    candidates = hits.join(F.broadcast(seeds), "seed").groupBy("doc").agg(F.collect_set(F.struct("item", (F.col("pos") - F.col("at")).alias("diagonal"))).alias("found"))
     candidates = S.written(candidates)
     near = texts.join(F.broadcast(candidates) if S.few(candidates, "found", S.BROADCAST_IDS) else candidates, "doc").select("doc", "text", "found")
     aligned = near.mapInArrow(_align({k: x for k, x in enumerate(items) if len(x)}, min_score), LEAKS)
