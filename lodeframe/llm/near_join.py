@@ -6,13 +6,16 @@ XOR-ing each gram into a block of a wide bit vector gives a parity sketch: its H
 distance never exceeds the symmetric difference. The join has these steps:
 
 1. Equal sets are collapsed by a 128-bit signature; only the lowest id goes on.
-2. Sets fall into size bands of ratio 1/t; each set enters its own band and the next, so
-   any pair that can reach t meets in a band. Per band the sketch is cut into k blocks
-   and pairs meet where a whole block agrees (pigeonhole). k = d + 1 makes that certain;
-   it is used for small sets. In larger bands grams are first sampled by hash and k is
-   smaller than d + 1: differences fall into blocks at random, so about k * exp(-d/k)
-   blocks stay untouched. This makes the search approximate there, at an expected
-   recall of 0.95 right at t and higher above it; tests measure it.
+2. Sets of up to some 60 grams meet by prefix filtering: grams are ordered by how rare they
+   are in a count of the short texts (buckets, so ties and errors only cost time), and a
+   pair that reaches t shares one of each set's first n - ceil(t n) + 1. This is certain.
+   Larger sets fall into size bands of ratio 1/t; each enters its own band and the next,
+   so any pair that can reach t meets in a band (the larger one's). Per band the sketch is
+   cut into k blocks and pairs meet where a whole block agrees. Grams are first sampled by
+   hash; d differences fall into blocks at random, so about k * exp(-d/k) blocks stay
+   untouched, of which those with one gram or none aren't used. k is made for the largest
+   d and the fewest shared grams of a band (see met), so that all pairs right at t,
+   contained ones too, are met with a probability of SURE or more; tests measure it.
 3. Where documents meet, 256-bit sketches of the grams of their band are compared: a pair
    whose Hamming distance is too high for d (see most_apart) goes. Documents
    that what is left connects are a group; only edges that span it move on.
@@ -31,6 +34,7 @@ gives an empty result; columns other than id and text are not read.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -41,8 +45,10 @@ from pyspark.sql import functions as F
 
 from lodeframe.llm import _shared as S
 
-#: Sampled grams of a set at its band's lower edge, and blocks per expected difference.
-SAMPLE, PER_BLOCK, SURE = 96, 2.1, 8
+#: Sampled grams of a set at its band's lower edge, the largest set that meets by its prefix, and the least probability that a larger pair meets.
+SAMPLE, SMALL, SURE = 96, 60, 0.96
+#: Buckets of the count that orders grams, and the longest text (in characters) counted.
+BUCKETS, COUNTED = 1 << 18, 2000
 SKETCH_WORDS = 4
 #: Grams of one side of a square of comparisons (8 bytes each).
 BLOCK = 1_000_000
@@ -67,14 +73,72 @@ def gram_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return key & np.uint64((1 << 48) - 1), counts
 
 
+def met(k: int, shared: float, apart: float) -> float:
+    """The probability that two sets with so many shared and differing grams agree in a block of two grams or more."""
+    load = shared / k
+    return 1 - math.exp(-k * math.exp(-apart / k) * (1 - math.exp(-load) * (1 + load)))
+
+
+def small_bands(t: float) -> int:
+    """The number of bands whose sets meet by prefixes: those that begin at SMALL grams or fewer."""
+    return int(math.log(SMALL) / -math.log(t) + 1e-9) + 1
+
+
+def bands_of(sizes: np.ndarray, t: float) -> np.ndarray:
+    return np.floor(np.log(np.maximum(sizes, 1)) / -math.log(t) + 1e-9).astype(np.int64)
+
+
+@functools.cache
 def band_plan(band: int, t: float) -> tuple[int, int]:
-    """Sampling modulus and number of blocks of a band: sets of t**-(band - 1) to t**-(band + 1) grams."""
+    """Sampling modulus and number of blocks of a band: the larger set of a pair has t**-band to t**-(band + 1) grams."""
     low = t**-band
     modulus = max(1, int(low // SAMPLE))
-    largest = int(2 * t ** -(band + 1) * (1 - t) / (1 + t) + 1e-9)
-    if modulus == 1 and largest + 1 <= SURE:
-        return 1, largest + 1
-    return modulus, max(SURE, round(2 * low / modulus * (1 - t) / (1 + t) / PER_BLOCK))
+    pairs = []
+    for larger in (low, low / t):
+        for smaller in (larger, larger * t):
+            shared = (larger + smaller) * t / (1 + t)
+            pairs.append((shared / modulus, (larger + smaller - 2 * shared) / modulus))
+    # Samples vary: two standard deviations more differences and fewer shared grams.
+    if modulus > 1:
+        pairs += [(max(s - 2 * math.sqrt(s), 1), d + 2 * math.sqrt(d)) for s, d in pairs]
+        sure = [SURE] * 4 + [SURE / 2] * 4
+    else:
+        sure = [SURE] * 4
+    k = 8
+    while any(met(k, s, d) < p for (s, d), p in zip(pairs, sure, strict=True)) and k < 4 * SAMPLE:
+        k += 1
+    return modulus, k
+
+
+def prefix_keys(grams: np.ndarray, owner: np.ndarray, sizes: np.ndarray, t: float, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the rarest grams of each set, as many as a partner must share one of, and their owners."""
+    key = S.mix(grams + np.uint64(29))
+    order = np.lexsort((key, counts[(key & np.uint64(BUCKETS - 1)).astype(np.int64)], owner))
+    at = np.arange(len(grams)) - np.concatenate([[0], np.cumsum(sizes)])[owner]
+    first = order[at < (sizes - np.ceil(t * sizes - 1e-9) + 1)[owner]]
+    return key[first], owner[first]
+
+
+def _counted(n: int):
+    """(bucket, count) of the grams of some texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for part in S.chunks(batches):
+            grams, _ = gram_sets(part.column(0), n)
+            total += np.bincount((S.mix(grams + np.uint64(29)) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+        (some,) = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["bucket", "count"])
+
+    return run
+
+
+def gram_counts(texts: DataFrame, n: int) -> np.ndarray:
+    """How often the short texts hold the grams of each bucket."""
+    rows = texts.where(F.length("text") <= COUNTED).select("text").mapInArrow(_counted(n), "bucket int, count long").groupBy("bucket").agg(F.sum("count").alias("count")).toArrow()
+    out = np.zeros(BUCKETS, np.int32)
+    out[rows.column(0).to_numpy()] = np.minimum(rows.column(1).to_numpy(), np.iinfo(np.int32).max)
+    return out
 
 
 def sampled_blocks(grams: np.ndarray, owner: np.ndarray, sizes: np.ndarray, t: float, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -83,7 +147,7 @@ def sampled_blocks(grams: np.ndarray, owner: np.ndarray, sizes: np.ndarray, t: f
 
     A block's parity bits are held as the XOR of its grams' hashes: the same for equal bits.
     """
-    band = np.floor(np.log(np.maximum(sizes, 1)) / -math.log(t) + 1e-9).astype(np.int64) + step
+    band = bands_of(sizes, t) + step
     plan = {int(b): band_plan(int(b), t) for b in np.unique(band)}
     modulus = np.array([plan[int(b)][0] for b in band], dtype=np.uint64)
     blocks = np.array([plan[int(b)][1] for b in band], dtype=np.uint64)
@@ -99,8 +163,8 @@ def sampled_blocks(grams: np.ndarray, owner: np.ndarray, sizes: np.ndarray, t: f
     content = np.bitwise_xor.reduceat(S.mix(g + np.uint64(13)), first)
     count = np.diff(np.append(first, len(g)))
     key = S.mix(content + S.mix(block[first] * np.uint64(1009) + band[o[first]].astype(np.uint64)))
-    # A lone gram says little where k is not d + 1, and phrases that many share would meet in it.
-    telling = (count > 1) | (blocks[o[first]] < SURE)
+    # A lone gram says little, and phrases that many share would meet in it: met() leaves them out.
+    telling = count > 1
     return key[telling], o[first][telling], g, o
 
 
@@ -126,7 +190,7 @@ def most_apart(sizes: np.ndarray, t: float, sampled: bool) -> np.ndarray:
     return width / 2 * (1 - np.exp(-2 * d / width)) + np.sqrt(width * (1 - np.exp(-4 * d / width)))
 
 
-def _profile(n: int, t: float):
+def _profile(n: int, t: float, counts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in S.chunks(batches):
             grams, sizes = gram_sets(part.column(1), n)
@@ -140,7 +204,15 @@ def _profile(n: int, t: float):
                 marks.append((total[at[1:]] - total[at[:-1]]).view(np.int64))
             columns = []
             for step in (0, 1):
-                keys, of, sample, by = sampled_blocks(grams, owner, sizes, t, step)
+                small = bands_of(sizes, t) + step < small_bands(t)
+                own = small[owner]
+                keys, of, sample, by = sampled_blocks(grams[~own], owner[~own], sizes, t, step)
+                if step == 0:
+                    rare, has = prefix_keys(grams[own], owner[own], np.where(small, sizes, 0), t, counts)
+                    of = np.concatenate([of, has])
+                    order = np.argsort(of, kind="stable")
+                    keys, of = np.concatenate([keys, rare])[order], of[order]
+                    sample, by = np.concatenate([sample, S.mix(grams[own])]), np.concatenate([by, owner[own]])
                 number = np.bincount(by, minlength=docs)
                 # Exact sets carry their size below zero: their bound needs no deviations.
                 number = np.where(number == sizes, -number, number).astype(np.int32)
@@ -255,8 +327,9 @@ def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spanning: only as many pairs as connect what is connected.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null")
+    counts = gram_counts(texts, n)
     bands = ", ".join(f"keys{i} array<long>, k{i} int, s{i} binary" for i in (0, 1))
-    profiles = texts.mapInArrow(_profile(n, threshold), f"doc long, n int, m1 long, m2 long, {bands}").where("n > 0")
+    profiles = texts.mapInArrow(_profile(n, threshold, counts), f"doc long, n int, m1 long, m2 long, {bands}").where("n > 0")
     profiles = S.written(profiles.selectExpr("*", "min(doc) over (partition by m1, m2) as rep"))
     equal = profiles.where("doc <> rep").select(F.col("rep").alias("doc_id_a"), F.col("doc").alias("doc_id_b"), F.lit(1.0).alias("jaccard")).distinct()
     alone = profiles.where("doc = rep")

@@ -1,8 +1,11 @@
 """Cases that a review found missing: each would have failed before its finding was settled."""
 
+import itertools
+import math
 import random
+from collections import Counter
 
-from lodeframe.llm import decontam
+from lodeframe.llm import decontam, near_join
 from tests.llm.test_brute import plain_alignment
 
 
@@ -20,3 +23,28 @@ def test_edited_copies_beside_exact_ones_leak(spark):
     bench = spark.createDataFrame([(k, " ".join(x)) for k, x in items.items()], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
     assert got == want and len(want) > 100
+
+
+def test_near_pairs_of_each_size_and_similarity_are_met(spark):
+    """Pairs of equal sets and of a set and its part, right at the threshold and somewhat above."""
+    rng, docs, kind = random.Random(12), [], {}
+    word = itertools.count()
+    text = lambda n: [f"w{next(word)}" for _ in range(n)]
+    for size in (8, 12, 16, 24, 30, 45, 60, 64, 90, 118, 150, 216, 400, 700):
+        for similar in (0.56, 0.6, 0.7):
+            for part in (False, True):
+                for _ in range(40):
+                    # size + 1 words are size 2-grams; what follows the shared words is new on one side or both.
+                    same = math.ceil(size * similar if part else 2 * size * similar / (1 + similar))
+                    shared = text(same + 1)
+                    a, b = shared + text(size - same), shared + ([] if part else text(size - same))
+                    k = 2 * len(docs)
+                    docs += [(k, " ".join(a)), (k + 1, " ".join(b))]
+                    kind[k, k + 1] = (size, similar, part)
+    rng.shuffle(docs)
+    got = {(r.doc_id_a, r.doc_id_b) for r in near_join.near_pairs(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got <= kind.keys()
+    found, of = Counter(kind[x] for x in got), Counter(kind.values())
+    assert all(found[x] == n for x, n in of.items() if x[0] <= 60)
+    low = {x: found[x] for x, n in of.items() if found[x] < 0.85 * n}
+    assert not low and len(got) >= 0.95 * len(kind)
