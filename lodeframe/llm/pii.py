@@ -1,7 +1,9 @@
 """Operator 8: personal and secret identifiers by bootstrapped contextual extraction.
 
 1. Candidates are the white-space separated strings that hold a digit or '@', without the
-   punctuation around them, and groups of digits with single blanks between them. Seeds are those that a strict validator accepts (addresses of
+   punctuation around them, and groups of digits with single blanks between them. A string
+   is cut at its separators (: = , / quotes, brackets, ...) where it isn't a seed itself and
+   a part is one or a label of letters stands first, as in email:jo@ex.com. Seeds are those that a strict validator accepts (addresses of
    mail and of hosts, card numbers by check digit, long keys, ...).
 2. Each occurrence induces lexical patterns: its shape (letters a, digits 9, runs of both x,
    with and without lengths) and the shape with the word before, the two words before, or
@@ -34,6 +36,8 @@ from lodeframe.llm import _shared as S
 _FOUND = re.compile(r"(?<!\S)(?=\S*[0-9@])\S+")
 #: Groups of digits with blanks between them, such as a telephone number: one candidate.
 _PHRASE = re.compile(r"(?<![\w.-])\+?\(?\d{1,4}\)?(?: \(?\d{2,4}\)?(?:[.-]\d{2,4}){0,2}(?![\w-]|\.\d))+")
+_CUT, _PATH = re.compile(r"[^:=,;|&?<>()\[\]{}\"'`]+"), re.compile(r"[^/\\]+")
+_LABEL = re.compile(r"[\"'`<({\[]*[^\W\d_]+(?:[_-][^\W\d_]+)*[\"'`]?[:=]")
 _WORD = re.compile(r"[^\W_]+")
 _AROUND = "\"'`.,;:!?()[]{}<>&%$#*|=~^/\\-_+"
 _RUN = re.compile(r"[^\W_]+")
@@ -77,8 +81,7 @@ def shape(text: str, lengths: bool) -> str:
     return _RUN.sub(run, text)
 
 
-def _core(text: str, m: re.Match[str]) -> tuple[int, int]:
-    begin, stop = m.start(), m.end()
+def _core(text: str, begin: int, stop: int) -> tuple[int, int]:
     # What is set off by quotation marks or noise inside the string is cut off too.
     while begin < stop and text[begin] in _AROUND:
         begin += 1
@@ -87,6 +90,20 @@ def _core(text: str, m: re.Match[str]) -> tuple[int, int]:
     return begin, stop
 
 
+def _parts(text: str, begin: int, stop: int) -> list[tuple[int, int]]:
+    """The candidates of a string: its core, or the parts between separators."""
+    whole = _core(text, begin, stop)
+    if seed_kind(text[slice(*whole)]):
+        return [whole]
+    out = []
+    for m in _CUT.finditer(text, begin, stop):
+        part = _core(text, *m.span())
+        steps = [] if seed_kind(text[slice(*part)]) else [_core(text, *x.span()) for x in _PATH.finditer(text, *part)]
+        out += steps if any(seed_kind(text[slice(*x)]) for x in steps) else [part]
+    cut = _LABEL.match(text, begin, stop) or any(seed_kind(text[slice(*x)]) for x in out)
+    return out if cut else [whole]
+
+
 def occurrences(text: str) -> list[tuple[int, int, str, str | None, list[str]]]:
     """(begin, stop, entity, seed kind, patterns) of each candidate of a text."""
     out = []
@@ -95,7 +112,7 @@ def occurrences(text: str) -> list[tuple[int, int, str, str | None, list[str]]]:
     taken = set()
     for a, b in phrases:
         taken.update(range(a, b))
-    alone = (_core(text, m) for m in _FOUND.finditer(text) if m.start() not in taken and m.end() - 1 not in taken)
+    alone = (x for m in _FOUND.finditer(text) if m.start() not in taken and m.end() - 1 not in taken for x in _parts(text, *m.span()))
     for begin, stop in sorted([*phrases, *(x for x in alone if x[0] not in taken)]):
         entity = text[begin:stop]
         if not any(c.isdigit() or c == "@" for c in entity):

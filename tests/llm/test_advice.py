@@ -5,7 +5,9 @@ import math
 import random
 from collections import Counter
 
-from lodeframe.llm import decontam, near_join
+import pytest
+
+from lodeframe.llm import decontam, near_join, pii
 from tests.llm.test_brute import plain_alignment
 
 
@@ -48,3 +50,28 @@ def test_near_pairs_of_each_size_and_similarity_are_met(spark):
     assert all(found[x] == n for x, n in of.items() if x[0] <= 60)
     low = {x: found[x] for x, n in of.items() if found[x] < 0.85 * n}
     assert not low and len(got) >= 0.95 * len(kind)
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("email:jo@ex.com", ["jo@ex.com"]),
+        ("see mailto:jo@ex.com now", ["jo@ex.com"]),
+        ("contact=jo@ex.com&page=2", ["jo@ex.com"]),
+        ("jo@ex.com,al@ex.com;bo@ex.com", ["jo@ex.com", "al@ex.com", "bo@ex.com"]),
+        ("token=" + "ab12" * 10, ["ab12" * 10]),
+        ('{"ip":"1.2.3.4","port":80}', ["1.2.3.4"]),
+        ("<a href='https://ex.com/u/jo@ex.com'>", ["jo@ex.com"]),
+        ("at 10.0.0.7:8080 and 10:30, 3/4 of it", ["10.0.0.7"]),
+    ],
+)
+def test_identifiers_joined_to_other_text_are_cut_out(text, want):
+    found = pii.occurrences(text)
+    assert [x[2] for x in found if x[3]] == want
+    assert all(text[b:e] == entity for b, e, entity, *_ in found)
+    assert all(x[1] <= y[0] for x, y in itertools.pairwise(sorted(found)))
+
+
+def test_joined_identifiers_are_masked(spark):
+    docs = spark.createDataFrame([(1, 'log {"ip":"1.2.3.4"} email:jo@ex.com')], "doc_id long, text string")
+    assert pii.mask(docs).first().text == 'log {"ip":"[IP]"} email:[EMAIL]'
