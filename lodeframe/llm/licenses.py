@@ -38,13 +38,24 @@ MOST = 40
 _WORD = re.compile(r"[^\W_]+")
 _MARK = re.compile(r"<<(beginOptional|endOptional|var)(.*?)>>", re.S)
 
+_NOTICE = 'redistribute <<var;name="it";original="it";match=".{1,3}">> and/or modify <<var;name="it";original="it";match=".{1,3}">> under the terms of the GNU %sGeneral Public License<<beginOptional>> as published by the Free Software Foundation<<endOptional>><<beginOptional>>;<<endOptional>> <<beginOptional>>either <<endOptional>>version %s<<beginOptional>> of the License<<endOptional>><<beginOptional>>, or (at your option) any later version<<endOptional>>'
+_BSD_CONDITIONS = 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: <<beginOptional>>1 <<endOptional>>Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. <<beginOptional>>2 <<endOptional>>Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. '
+_BSD_NAMES = '<<beginOptional>>3 <<endOptional>>Neither the name of <<var;name="holder";original="the copyright holder";match=".{1,12}">> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. '
+_HOLDER = '<<var;name="holder";original="the copyright holder";match=".{1,12}">>'
+_BSD_DISCLAIMER = f'This software is provided by {_HOLDER} "as is" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. In no event shall {_HOLDER} be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage'
+
 TEMPLATES = {
     "MIT": '<<beginOptional>>This <<var;name="work";original="software";match=".{1,3}">> is <<endOptional>>Released under the <<beginOptional>>terms of the <<endOptional>>MIT License',
-    "MIT-permission": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the <<var;name="quoted";original="Software";match=".{1,1}">>), to deal in the Software without restriction',
+    "MIT-permission": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the <<var;name="quoted";original="Software";match=".{1,1}">>), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph) <<endOptional>>shall be included in all copies or substantial portions of the Software. The Software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall <<var;name="holder";original="the authors or copyright holders";match=".{1,12}">> be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the Software or the use or other dealings in the Software',
     "Apache-2.0": 'Licensed under the Apache License, Version 2.0<<beginOptional>> (the <<var;name="quoted";original="License";match=".{1,1}">>)<<endOptional>>',
     "GPL-3.0": '<<beginOptional>>This <<var;name="work";original="work";match=".{1,3}">> is <<endOptional>>licensed under the GNU General Public License<<beginOptional>> as published by the Free Software Foundation<<endOptional>>, <<beginOptional>>either <<endOptional>>version 3<<beginOptional>> of the License<<endOptional>><<beginOptional>>, or (at your option) any later version<<endOptional>>',
     "GPL-2.0": '<<beginOptional>>This <<var;name="work";original="work";match=".{1,3}">> is <<endOptional>>licensed under the GNU General Public License<<beginOptional>> as published by the Free Software Foundation<<endOptional>>, <<beginOptional>>either <<endOptional>>version 2<<beginOptional>> of the License<<endOptional>><<beginOptional>>, or (at your option) any later version<<endOptional>>',
-    "BSD-3-Clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met<<beginOptional>>: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer<<endOptional>>',
+    "GPL-3.0-notice": _NOTICE % ("", "3"),
+    "GPL-2.0-notice": _NOTICE % ("", "2"),
+    "LGPL-3.0-notice": _NOTICE % ("Lesser ", "3"),
+    "LGPL-2.1-notice": _NOTICE % ("Lesser ", "2.1"),
+    "BSD-3-Clause": _BSD_CONDITIONS + _BSD_NAMES + _BSD_DISCLAIMER,
+    "BSD-2-Clause": _BSD_CONDITIONS + _BSD_DISCLAIMER,
     "CC-BY-4.0": '<<beginOptional>>This <<var;name="work";original="work";match=".{1,3}">> is <<endOptional>>licensed under <<beginOptional>>a <<endOptional>><<beginOptional>>the <<endOptional>>Creative Commons Attribution 4.0<<beginOptional>> International<<endOptional>><<beginOptional>> Public<<endOptional>> License',
     "CC-BY-SA-4.0": '<<beginOptional>>This <<var;name="work";original="work";match=".{1,3}">> is <<endOptional>>licensed under <<beginOptional>>a <<endOptional>><<beginOptional>>the <<endOptional>>Creative Commons Attribution<<beginOptional>> Share<<endOptional>> <<var;name="alike";original="ShareAlike";match="alike|sharealike">> 4.0<<beginOptional>> International<<endOptional>> License',
     "CC-BY-NC-4.0": '<<beginOptional>>This <<var;name="work";original="work";match=".{1,3}">> is <<endOptional>>licensed under <<beginOptional>>the <<endOptional>>CC BY-NC 4.0<<beginOptional>> International<<endOptional>><<beginOptional>> License<<endOptional>>',

@@ -3,11 +3,12 @@
 import itertools
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
 
-from lodeframe.llm import decontam, near_join, pii
+from lodeframe.llm import decontam, licenses, near_join, pii
 from tests.llm.test_brute import plain_alignment
 
 
@@ -75,3 +76,22 @@ def test_identifiers_joined_to_other_text_are_cut_out(text, want):
 def test_joined_identifiers_are_masked(spark):
     docs = spark.createDataFrame([(1, 'log {"ip":"1.2.3.4"} email:jo@ex.com')], "doc_id long, text string")
     assert pii.mask(docs).first().text == 'log {"ip":"[IP]"} email:[EMAIL]'
+
+
+def plain(template):
+    """A template's text with its optional regions and the originals of its variables."""
+    return re.sub(r'<<var;.*?original="(.*?)".*?>>', r"\1", re.sub(r"<<(begin|end)Optional>>", " ", template))
+
+
+def test_whole_licence_texts_are_compared(spark):
+    names = ["MIT-permission", "BSD-3-Clause", "BSD-2-Clause"]
+    texts = [plain(licenses.TEMPLATES[n]) for n in names]
+    altered = [t.replace("without warranty of any kind", "with a warranty").replace("consequential damages", "costs") for t in texts]
+    notices = {
+        "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "LGPL-2.1-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    }
+    docs = [*texts, *notices.values(), *altered]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.license_id) for r in rows} == set(enumerate([*names, *notices]))
+    assert all(len(texts[i].split()) > 150 for i in range(3))
