@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "lodeframe", master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -16,3 +16,15 @@ def session(app: str = "lodeframe", master: str | None = None, shuffle_partition
     for k, v in {**base, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A scanned table by key in as many tasks as there are cores, if it is small and lies in fewer files than that.
+
+    A file of one row group is one task, and so is the work behind its scan. Larger tables,
+    and those of many files, are read as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > cores * (32 << 20):
+        return df
+    return df.repartition(cores, key)
