@@ -14,8 +14,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lodeframe.session import spread
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -24,12 +27,14 @@ _GRAM = 0xD6E8FEB86659FD93 | 1
 _GRAM_INV = pow(_GRAM, -1, 1 << 64)
 #: Bytes of text cut and hashed at once; bounds a worker's memory.
 CHUNK_BYTES = 1 << 18
-#: Ids a semi or anti join may broadcast; beyond it both sides are shuffled.
-BROADCAST_IDS = 2_000_000
+#: Bytes that may be broadcast; a larger side is joined by a shuffle.
+BROADCAST_BYTES = 64_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of a folder; one that operators work on row by row is spread over the cores if it is one small file."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, df.columns[0]) if name in ("documents", "pages", "conversations") else df
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,26 +50,60 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The rows of df from a table in the shared folder: cuts lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession)
+    """The rows of df from a table in the shared folder: cuts lineage, survives lost executors.
+
+    The result reads the table whenever it runs, so tables stay until clean() or discard().
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    spark.sparkContext.__dict__.setdefault("_lodeframe_tables", set()).add(path)
+    out = spark.read.parquet(path)
+    out._lodeframe_table = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    spark.sparkContext._lodeframe_tables.discard(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table of a written() that nothing reads any more, such as the round before in an iteration."""
+    _delete(df.sparkSession, df._lodeframe_table)
+
+
+def clean(spark: SparkSession) -> int:
+    """Deletes all tables that written() has left. Call it once the results that depend on them are stored; returns their number."""
+    paths = list(getattr(spark.sparkContext, "_lodeframe_tables", ()))
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
+
+
+def id_of(df: DataFrame, name: str) -> Column:
+    """The id column as a long. Ids are integers (or all null); others raise a TypeError before anything runs."""
+    kind = df.select(F.col(name)).schema[0].dataType
+    if not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise TypeError(f"column {name} holds {kind.simpleString()}: ids must be integers, so number the rows first")
+    return F.col(name).cast("long")
 
 
 def filter_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     """left_semi or left_anti of df by key; ids is a written table of distinct keys.
 
-    Its size is counted first: up to BROADCAST_IDS it is broadcast, so that df (wide
+    Its size is counted first: up to BROADCAST_BYTES it is broadcast, so that df (wide
     texts) doesn't move; beyond that it is an ordinary shuffled join.
     """
-    small = ids.count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if small else ids.hint("merge"), key, how)
+    return df.join(F.broadcast(ids) if small(ids, 32) else ids.hint("merge"), key, how)
 
 
-def few(rows: DataFrame, lists: str, most: int = 4 * BROADCAST_IDS) -> bool:
-    """Whether a written table has so few list entries (and rows) that it may be broadcast."""
-    total = rows.agg(F.sum(F.size(lists) + 2)).first()[0]
-    return (total or 0) <= most
+def small(rows: DataFrame, row_bytes: int, lists: str | None = None, entry_bytes: int = 0) -> bool:
+    """Whether a written table is at most BROADCAST_BYTES in memory: so many bytes for each row and each entry of its lists."""
+    entries = F.lit(0) if lists is None else F.coalesce(F.size(lists), F.lit(0))
+    total = rows.agg(F.sum(row_bytes + entries.cast("long") * entry_bytes)).first()[0]
+    return (total or 0) <= BROADCAST_BYTES
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -172,6 +211,12 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
     pa.default_memory_pool().release_unused()
 
 
+def flat(column: pa.Array, kind: type) -> np.ndarray:
+    """The bytes of a binary column without nulls, one row's after the other, as numbers."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view(kind)
+
+
 def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     """A list column of the given kind from flat values and each row's count."""
     offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
@@ -182,3 +227,25 @@ def blobs(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     """A binary column: each row's values as raw bytes."""
     offsets = np.concatenate([[0], np.cumsum(counts)]) * values.dtype.itemsize
     return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
+
+def together(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Joins small batches to batches of at least rows rows."""
+    held, count = [], 0
+    for b in batches:
+        held.append(b)
+        count += b.num_rows
+        if count >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, count = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+#: Kept until the operators that count entries use small().
+BROADCAST_IDS = 2_000_000
+
+
+def few(rows: DataFrame, lists: str, most: int = 4 * BROADCAST_IDS) -> bool:
+    total = rows.agg(F.sum(F.size(lists) + 2)).first()[0]
+    return (total or 0) <= most
