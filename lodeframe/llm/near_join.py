@@ -5,7 +5,8 @@ J(A, B) >= t the symmetric difference is at most d = (|A| + |B|)(1 - t)/(1 + t).
 XOR-ing each gram into a block of a wide bit vector gives a parity sketch: its Hamming
 distance never exceeds the symmetric difference. The join has these steps:
 
-1. Equal sets are collapsed by a 128-bit signature; only the lowest id goes on.
+1. Equal sets are collapsed by a 128-bit signature, counted map-side; only the lowest id
+   goes on.
 2. Sets of up to some 60 grams meet by prefix filtering: grams are ordered by how rare they
    are in a count of the short texts (buckets, so ties and errors only cost time), and a
    pair that reaches t shares one of each set's first n - ceil(t n) + 1. This is certain.
@@ -18,17 +19,20 @@ distance never exceeds the symmetric difference. The join has these steps:
    contained ones too, are met with a probability of SURE or more; tests measure it.
 3. Where documents meet, 256-bit sketches of the grams of their band are compared: a pair
    whose Hamming distance is too high for d (see most_apart) goes. Documents
-   that what is left connects are a group; only edges that span it move on.
+   that what is left connects are a group; only edges that span it move on. Keys that very
+   many documents share are split to squares of comparisons.
 4. The groups' sets are made again from the texts, each moves to where its group is
-   compared, and there all pairs of the group are compared.
+   compared, and there all pairs of the group are compared. Squares are cut by the work that
+   they are, documents * grams, so that no family of copies is one task.
 
 Result: doc_id_a < doc_id_b, jaccard. Documents with equal sets are paired with the lowest
 id among them (jaccard 1), and only that one is paired with others, so thousands of
 copies give rows in proportion; expand_pairs() gives every pair.
 
-Nulls, empty texts and texts without words have empty sets and no partner. Rows with a
-null id are left out; rows that repeat an id and text count once, and an id is never
-paired with itself. Ties need no rule: every pair at or above t is a row. An empty table
+Ids are integers; other types raise a TypeError. Nulls, empty texts and texts without words
+have empty sets and no partner. Rows with a null id are left out; rows that repeat an id and
+text count once, and an id is never paired with itself. An id that names several texts is
+paired by each of them, once for each partner, with the highest Jaccard of them. Ties need no rule: every pair at or above t is a row. An empty table
 gives an empty result; columns other than id and text are not read.
 """
 
@@ -40,6 +44,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,8 +55,10 @@ SAMPLE, SMALL, SURE = 96, 60, 0.96
 #: Buckets of the count that orders grams, and the longest text (in characters) counted.
 BUCKETS, COUNTED = 1 << 18, 2000
 SKETCH_WORDS = 4
-#: Grams of one side of a square of comparisons (8 bytes each).
-BLOCK = 1_000_000
+#: Documents of a key that are compared in one task; of more, the key is split.
+MET = 20_000
+#: Of one side of a square of comparisons: its grams (8 bytes each), and documents * grams.
+GRAMS, WORK = 2_000_000, 1e9
 
 
 def gram_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,6 +80,14 @@ def gram_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return key & np.uint64((1 << 48) - 1), counts
 
 
+def signatures(grams: np.ndarray, sizes: np.ndarray, salt: int) -> np.ndarray:
+    """A sum of hashes of each set's grams."""
+    total = np.zeros(len(grams) + 1, dtype=np.uint64)
+    np.cumsum(S.mix(grams * np.uint64(2 * salt + 1) + np.uint64(salt)), out=total[1:])
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    return (total[at[1:]] - total[at[:-1]]).view(np.int64)
+
+
 def met(k: int, shared: float, apart: float) -> float:
     """The probability that two sets with so many shared and differing grams agree in a block of two grams or more."""
     load = shared / k
@@ -196,12 +211,7 @@ def _profile(n: int, t: float, counts: np.ndarray):
             grams, sizes = gram_sets(part.column(1), n)
             docs = len(sizes)
             owner = np.repeat(np.arange(docs), sizes)
-            marks = []
-            for salt in (1, 2):
-                total = np.zeros(len(grams) + 1, dtype=np.uint64)
-                np.cumsum(S.mix(grams * np.uint64(2 * salt + 1) + np.uint64(salt)), out=total[1:])
-                at = np.concatenate([[0], np.cumsum(sizes)])
-                marks.append((total[at[1:]] - total[at[:-1]]).view(np.int64))
+            marks = [signatures(grams, sizes, salt) for salt in (1, 2)]
             columns = []
             for step in (0, 1):
                 small = bands_of(sizes, t) + step < small_bands(t)
@@ -222,33 +232,84 @@ def _profile(n: int, t: float, counts: np.ndarray):
     return run
 
 
-def _linked(t: float):
-    """Edges (low, doc) that connect what is likely similar among the documents of each key."""
+def _runs(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.RecordBatch | int]:
+    """The rows of a partition sorted by its first column, in batches that end where a value of it ends.
+
+    A value of more than most rows is yielded itself, in place of its rows, which aren't held.
+    """
+    held: list[pa.RecordBatch] = []
+    count, hot = 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        block = batch.column(0).to_numpy(zero_copy_only=False)
+        if hot is not None:
+            skip = int(np.searchsorted(block, hot, side="right"))
+            if skip == len(block):
+                continue
+            batch, block, hot = batch.slice(skip), block[skip:], None
+        if held and held[0].column(0)[0].as_py() != block[0]:
+            yield from held if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, count = [], 0
+        last = int(np.searchsorted(block, block[-1]))
+        if last:
+            yield from pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks().to_batches()
+            held, count = [], 0
+        held.append(batch.slice(last))
+        count += batch.num_rows - last
+        if most is not None and count > most:
+            hot = int(block[-1])
+            yield hot
+            held, count = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _linked(t: float, most: int | None):
+    """Edges (u, v) that connect what is likely similar among the documents of each block.
+
+    Rows are (block, side, doc, k, s); side 0 and 1: only pairs across, 2: all pairs. A block
+    of more than most rows gives a row (null, null, block) instead.
+    """
+    kinds = (pa.int64(), pa.int64(), pa.int64())
+
+    def near(size: np.ndarray, exact: np.ndarray, bits: np.ndarray, i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
+        apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1)
+        both = size[j] + size[i]
+        return apart <= np.where(exact[j] & exact[i], most_apart(both, t, False), most_apart(both, t, True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            us: list[int] = []
-            vs: list[int] = []
-            for x in batch.column(0):
-                rows = x.as_py()
-                doc = [r["doc"] for r in rows]
-                size = np.array([r["k"] for r in rows])
-                exact = size < 0
-                size = np.abs(size).astype(np.int64)
-                bits = np.frombuffer(b"".join(r["s"] for r in rows), np.uint64).reshape(-1, SKETCH_WORDS)
-                todo, left = [], np.arange(len(doc))
+        for rows in _runs(batches, most):
+            if isinstance(rows, int):
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((None, None, rows), kinds, strict=True)], names=["u", "v", "hot"])
+                continue
+            block, side, doc, k = (rows.column(c).to_numpy(zero_copy_only=False) for c in range(4))
+            edges = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]])
+            count = np.diff(edges)
+            if count.max() < 2:
+                continue
+            size, exact = np.abs(k).astype(np.int64), k < 0
+            bits = S.flat(rows.column(4), np.uint64).reshape(-1, SKETCH_WORDS)
+            # Blocks of two documents all at once; of more, one after the other.
+            i = edges[:-1][count == 2]
+            i = i[(side[i] == 2) | (side[i] != side[i + 1])]
+            i = i[near(size, exact, bits, i, i + 1)]
+            us, vs = [i], [i + 1]
+            for a, b in zip(edges[:-1][count > 2], edges[1:][count > 2], strict=True):
+                todo, left = [], np.arange(a, b)
                 while len(left):
                     if not todo:
                         todo, left = [left[0]], left[1:]
-                    i = todo.pop()
-                    apart = np.bitwise_count(bits[left] ^ bits[i]).sum(axis=1)
-                    near = apart <= np.where(exact[left] & exact[i], most_apart(size[left] + size[i], t, False), most_apart(size[left] + size[i], t, True))
-                    for j in left[near]:
-                        us.append(doc[i])
-                        vs.append(doc[j])
-                        todo.append(j)
-                    left = left[~near]
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+                    x = todo.pop()
+                    met = left if side[x] == 2 else left[side[left] != side[x]]
+                    met = met[near(size, exact, bits, x, met)]
+                    if len(met):
+                        us.append(np.full(len(met), x))
+                        vs.append(met)
+                        todo += met.tolist()
+                        left = np.setdiff1d(left, met, assume_unique=True)
+            u, v = doc[np.concatenate(us)], doc[np.concatenate(vs)]
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.nulls(len(u), pa.int64())], names=["u", "v", "hot"])
 
     return run
 
@@ -257,68 +318,104 @@ def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in S.chunks(batches):
             grams, sizes = gram_sets(part.column(1), n)
-            yield pa.RecordBatch.from_arrays([part.column(0), S.blobs(grams, sizes)], names=["doc", "grams"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(signatures(grams, sizes, 1)), S.blobs(grams, sizes)], names=["doc", "mark", "grams"])
 
     return run
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each block of a partition sorted by block, over batch borders."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        block = batch.column(0).to_numpy(zero_copy_only=False)
-        if not len(block):
-            continue
-        edges = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]])
-        for x, y in zip(edges[:-1], edges[1:], strict=True):
-            if held and held[0].column(0)[0].as_py() != block[x]:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(x, y - x))
-    if held:
-        yield pa.Table.from_batches(held)
+def similar_pairs(grams: np.ndarray, sizes: np.ndarray, side: np.ndarray, t: float, spanning: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of two sets whose Jaccard similarity is t or more, and it; grams are flat, sizes their numbers.
+
+    The grams of one set are marked, and those of all sets of a size that can reach t are
+    looked up at once. spanning: only pairs that connect what isn't connected by others.
+    """
+    order = np.lexsort((sizes, side))
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    flat = np.unique(grams, return_inverse=True)[1]
+    size = sizes[order]
+    at = np.concatenate([[0], np.cumsum(size)])
+    flat = np.concatenate([flat[first[i] : first[i + 1]] for i in order]) if len(order) else flat
+    marks = np.zeros(int(flat.max()) + 1 if len(flat) else 1, dtype=np.uint8)
+    cut = int(np.searchsorted(side[order], 1)) if len(side) and side.max() < 2 else -1
+    us, vs, js = [], [], []
+
+    def partners(i: int, after: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Those that reach t with i, and how similar they are."""
+        a, b = (0, len(size)) if cut < 0 else (cut, len(size)) if i < cut else (0, cut)
+        low, high = np.searchsorted(size[a:b], [size[i] * t - 1e-6, size[i] / t + 1e-6]) + a
+        if after:
+            low = max(low, i + 1)
+        if low >= high:
+            return np.zeros(0, np.int64), np.zeros(0)
+        own = flat[at[i] : at[i + 1]]
+        marks[own] = 1
+        shared = np.add.reduceat(marks[flat[at[low] : at[high]]], at[low:high] - at[low], dtype=np.int64)
+        marks[own] = 0
+        similar = shared / (size[low:high] + size[i] - shared)
+        good = np.flatnonzero(similar >= t)
+        return good + low, similar[good]
+
+    if not spanning:
+        for i in range(len(size) if cut < 0 else cut):
+            j, similar = partners(i, cut < 0)
+            us.append(np.full(len(j), i))
+            vs.append(j)
+            js.append(similar)
+    else:
+        free, todo, n = np.ones(len(size), dtype=bool), [], 0
+        while True:
+            if not todo:
+                n += int(np.argmax(free[n:])) if n < len(free) else 0
+                if n >= len(free) or not free[n]:
+                    break
+                todo.append(n)
+                free[n] = False
+            if not free.any():
+                break
+            i = todo.pop()
+            j, similar = partners(i, False)
+            new = free[j]
+            j, similar = j[new], similar[new]
+            free[j] = False
+            todo += j.tolist()
+            us.append(np.full(len(j), i))
+            vs.append(j)
+            js.append(similar)
+    if not us:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return order[np.concatenate(us).astype(np.int64)], order[np.concatenate(vs).astype(np.int64)], np.concatenate(js)
 
 
 def _compare(t: float, spanning: bool):
     """Pairs of each block (block, side, doc, grams); side 0 and 1: only pairs across, 2: all pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int, float]] = []
-        for rows in _blocks(batches):
-            doc, side = rows.column("doc").to_pylist(), rows.column("side").to_numpy()
-            grams = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("grams")]
-            size = np.array([len(g) for g in grams])
-            root = list(range(len(doc)))
-
-            def find(i: int, root: list[int] = root) -> int:
-                while root[i] != i:
-                    root[i] = root[root[i]]
-                    i = root[i]
-                return i
-
-            for i in range(len(doc) - 1):
-                low, high = np.minimum(size[i], size[i + 1 :]), np.maximum(size[i], size[i + 1 :])
-                likely = low >= t * high - 1e-6
-                likely &= (side[i] == 2) | (side[i + 1 :] != side[i])
-                for j in np.flatnonzero(likely) + i + 1:
-                    if spanning and find(i) == find(j):
-                        continue
-                    both = len(grams[i]) + len(grams[j]) - len(np.unique(np.concatenate([grams[i], grams[j]])))
-                    similar = both / (len(grams[i]) + len(grams[j]) - both)
-                    if similar >= t:
-                        root[find(i)] = find(j)
-                        out.append((min(doc[i], doc[j]), max(doc[i], doc[j]), similar))
-            if len(out) > 20_000:
-                yield _pairs(out)
-                out = []
-        yield _pairs(out)
-
-    return run
-
-
-def _pairs(rows: list[tuple[int, int, float]]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [[]] * 3
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["doc_id_a", "doc_id_b", "jaccard"])
+        for rows in _runs(batches):
+            block, side, doc = (rows.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            sizes = pc.binary_length(rows.column(3)).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+            first = np.concatenate([[0], np.cumsum(sizes)])
+            grams = S.flat(rows.column(3), np.uint64)
+            edges = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]])
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if b - a > 1:
+                    i, j, similar = similar_pairs(grams[first[a] : first[b]], sizes[a:b], side[a:b], t, spanning)
+                    x, y = doc[a + i], doc[a + j]
+                    good = x != y
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[good]), pa.array(np.maximum(x, y)[good]), pa.array(similar[good])], names=["doc_id_a", "doc_id_b", "jaccard"])
+
+    return lambda batches: S.together(run(batches))
+
+
+def _squares(rows: DataFrame, key: str, parts: DataFrame) -> DataFrame:
+    """rows (with key) once for each square of blocks that they are in: block and side instead of key.
+
+    parts: key, parts. The documents of a key fall into so many parts, each of which meets
+    itself (side 2) and each other (sides 0 and 1), so that every pair meets exactly once.
+    """
+    split = rows.join(parts, key).withColumn("c", F.expr("cast(pmod(xxhash64(doc), parts) as int)"))
+    split = split.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    side = F.expr("case when c = o then 2 when c < o then 0 else 1 end")
+    return split.select(F.xxhash64(key, F.least("c", "o"), F.greatest("c", "o")).alias("block"), side.alias("side"), *(c for c in rows.columns if c != key))
 
 
 def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 2, threshold: float = 0.55, spanning: bool = False) -> DataFrame:
@@ -326,30 +423,39 @@ def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     spanning: only as many pairs as connect what is connected.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null")
+    texts = docs.select(S.id_of(docs, id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null")
     counts = gram_counts(texts, n)
     bands = ", ".join(f"keys{i} array<long>, k{i} int, s{i} binary" for i in (0, 1))
-    profiles = texts.mapInArrow(_profile(n, threshold, counts), f"doc long, n int, m1 long, m2 long, {bands}").where("n > 0")
-    profiles = S.written(profiles.selectExpr("*", "min(doc) over (partition by m1, m2) as rep"))
-    equal = profiles.where("doc <> rep").select(F.col("rep").alias("doc_id_a"), F.col("doc").alias("doc_id_b"), F.lit(1.0).alias("jaccard")).distinct()
-    alone = profiles.where("doc = rep")
+    profiles = S.written(texts.mapInArrow(_profile(n, threshold, counts), f"doc long, n int, m1 long, m2 long, {bands}").where("n > 0"))
+    # Copies are counted map-side, so that thousands of them are a row of each task, and wide rows don't move.
+    copies = S.written(profiles.groupBy("m1", "m2").agg(F.min("doc").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"))
+    marked = profiles.join(F.broadcast(copies) if S.small(copies, 64) else copies, ["m1", "m2"], "left").withColumn("rep", F.coalesce("rep", "doc"))
+    equal = marked.where("doc <> rep").select(F.col("rep").alias("doc_id_a"), F.col("doc").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
+    alone = marked.where("doc = rep")
     # One shuffle of (key, id, sketch). Where documents meet, their sketches are compared at
     # once, and only edges that connect likely pairs go on: as many as documents at most.
-    keyed = alone.select(F.explode("keys0").alias("key"), "doc", F.col("k0").alias("k"), F.col("s0").alias("s")).unionByName(alone.select(F.explode("keys1").alias("key"), "doc", F.col("k1").alias("k"), F.col("s1").alias("s")))
-    met = keyed.groupBy("key").agg(F.collect_set(F.struct("doc", "k", "s")).alias("met")).where("size(met) > 1").select("met")
-    group = components(met.mapInArrow(_linked(threshold), "u long, v long"), "u", "v")
-    # A group is compared in squares of about BLOCK grams a side: a set moves once for each
-    # square it is in, not once for each pair.
-    group = S.written(group.join(alone.select("doc", "n").dropDuplicates(["doc"]), "doc"))
-    parts = group.groupBy("root").agg(F.ceil(F.sum(F.col("n").cast("long")) / BLOCK).cast("int").alias("parts"))
-    split = group.join(parts, "root").selectExpr("doc", "root", "parts", "cast(pmod(xxhash64(doc), parts) as int) as c")
-    squares = split.select("doc", "root", "c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
-    squares = S.written(squares.selectExpr("doc", "xxhash64(root, least(c, o), greatest(c, o)) as block", "case when c = o then 2 when c < o then 0 else 1 end as side"))
-    wanted = group.select("doc")
-    sets = S.filter_ids(texts, wanted, "doc", "left_semi").mapInArrow(_sets(n), "doc long, grams binary").dropDuplicates(["doc"])
+    keyed = alone.select(F.explode("keys0").alias("block"), "doc", F.col("k0").alias("k"), F.col("s0").alias("s")).unionByName(alone.select(F.explode("keys1").alias("block"), "doc", F.col("k1").alias("k"), F.col("s1").alias("s")))
+    link = lambda rows, most: rows.select("block", "side", "doc", "k", "s").repartition("block").sortWithinPartitions("block").mapInArrow(_linked(threshold, most), "u long, v long, hot long")
+    edges = S.written(link(keyed.withColumn("side", F.lit(2)), MET))
+    hot = S.written(edges.where("hot is not null").select(F.col("hot").alias("block")))
+    if not hot.isEmpty():
+        # Keys that more than MET documents share are split to squares.
+        many = S.written(S.filter_ids(keyed, hot, "block", "left_semi"))
+        parts = many.groupBy("block").agg(F.ceil(F.count("*") / (MET // 2)).cast("int").alias("parts"))
+        edges = edges.where("hot is null").unionByName(link(_squares(many, "block", parts), None))
+    group = components(edges, "u", "v")
+    # A group is compared in squares of some WORK: a set moves once for each square it is in,
+    # not once for each pair.
+    group = S.written(group.join(alone.groupBy("doc").agg(F.max("n").alias("n")), "doc"))
+    grams = F.sum(F.col("n").cast("double"))
+    parts = group.groupBy("root").agg(F.greatest(F.ceil(grams / GRAMS), F.ceil(F.sqrt(F.count("*") * grams / WORK))).cast("int").alias("parts"))
+    squares = S.written(_squares(group.select("doc", "root"), "root", parts))
+    sets = S.filter_ids(texts, group.select("doc"), "doc", "left_semi").mapInArrow(_sets(n), "doc long, mark long, grams binary")
+    sets = sets.repartition("doc").dropDuplicates(["doc", "mark"])
     blocks = sets.join(squares, "doc").select("block", "side", "doc", "grams")
     near = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_compare(threshold, spanning), "doc_id_a long, doc_id_b long, jaccard double")
-    return near.unionByName(equal)
+    # Texts of the same id may give a pair more than once.
+    return near.unionByName(equal).groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
 
 
 def expand_pairs(pairs: DataFrame) -> DataFrame:
@@ -379,6 +485,7 @@ def components(pairs: DataFrame, a: str = "doc_id_a", b: str = "doc_id_b") -> Da
         small = large.join(low, "u").selectExpr("explode(array(struct(v as u, m as v), struct(u as u, m as v))) as e").select("e.*").where("u <> v").distinct()
         small = S.written(small)
         before, after = (x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for x in (edges, small))
+        S.discard(edges)
         edges = small
         if tuple(before) == tuple(after):
             return edges.select(F.col("u").alias("doc"), F.col("v").alias("root")).unionByName(edges.selectExpr("v as doc", "v as root").distinct())
