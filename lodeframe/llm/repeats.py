@@ -19,7 +19,8 @@ maximal stretch covered by repeated windows, n_words, and longest, the length of
 longest window min_words * 2**k in it that repeats.
 
 Only repeats across documents count: a document that repeats itself isn't listed for it,
-nor are rows that repeat an id. Nulls, and texts of fewer than min_words words, have no
+nor are rows that repeat an id; the texts of an id that names several are one document's.
+Ids are integers; other types raise a TypeError. Nulls, and texts of fewer than min_words words, have no
 rows; rows with a null id are left out. Ties need no rule. An empty table gives an empty
 result. Columns other than id and text are not read. Texts are read whole.
 """
@@ -120,21 +121,8 @@ def _doubled(half: int):
     return run
 
 
-def _together(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
-    """Joins small batches to batches of at least rows rows."""
-    held, count = [], 0
-    for b in batches:
-        held.append(b)
-        count += b.num_rows
-        if count >= rows:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, count = [], 0
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def _joined(f):
-    return lambda batches: _together(f(batches))
+    return lambda batches: S.together(f(batches))
 
 
 def _in_two_documents(rows: DataFrame) -> DataFrame:
@@ -148,14 +136,19 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     if min_words != 2 * half or half < 1:
         raise ValueError("min_words is an even number of 2 or more")
     triple = "mark long, doc long, pos int"
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null")
-    whole = texts.mapInArrow(_signatures, "doc long, n int, m1 long, m2 long").where(f"n >= {min_words}")
-    whole = S.written(whole.selectExpr("doc", "n", "min(doc) over (partition by m1, m2) as rep", "max(doc) over (partition by m1, m2) as other").where("rep <> other"))
-    copies = S.written(whole.where("doc <> rep").select("doc").distinct())
-    single = S.filter_ids(texts, copies, "doc", "left_anti")
+    texts = docs.select(S.id_of(docs, id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null")
+    whole = S.written(texts.mapInArrow(_signatures, "doc long, n int, m1 long, m2 long").where(f"n >= {min_words}"))
+    # Counted map-side: thousands of copies are one row of each task.
+    known = S.written(whole.groupBy("m1", "m2").agg(F.min("doc").alias("rep"), F.max("doc").alias("other")).where("rep <> other").drop("other"))
+    marked = whole.join(F.broadcast(known) if S.small(known, 64) else known, ["m1", "m2"], "left").withColumn("alone", F.coalesce(F.col("doc") == F.col("rep"), F.lit(True)))
+    copies = S.written(marked.where("not alone").select("doc").distinct())
+    # An id that also names another text goes on with all of them.
+    others = S.written(S.filter_ids(marked.where("alone").select("doc"), copies, "doc", "left_semi").distinct())
+    single = S.filter_ids(texts, S.written(S.filter_ids(copies, others, "doc", "left_anti")), "doc", "left_anti")
+    whole = marked.where("rep is not null")
     seeds = _in_two_documents(single.mapInArrow(_joined(_samples(half)), triple))
     seeds = S.written(seeds.groupBy("doc").agg(F.collect_set("pos").alias("found")))
-    near = single.join(F.broadcast(seeds) if S.few(seeds, "found") else seeds, "doc").select("doc", "text", "found")
+    near = single.join(F.broadcast(seeds) if S.small(seeds, 64, "found", 4) else seeds, "doc").select("doc", "text", "found")
     level = S.written(_in_two_documents(near.mapInArrow(_joined(_doubled(half)), triple)).distinct())
     found, length = level.select("doc", "pos", F.lit(min_words).alias("len")), min_words
     while True:
