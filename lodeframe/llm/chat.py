@@ -16,7 +16,8 @@ overhead tokens are added for each turn.
 
 Result: conv_id, window (from 0), history_turn, first_turn, last_turn (turn numbers;
 history_turn is first_turn without history), n_tokens, target_tokens, mask, over_budget, text.
-Turns with a null conv_id, turn or role are left out, a null text is empty. Repeated rows
+Numbers of conversations and turns are integers; other types raise a TypeError. Turns with a
+null conv_id, turn or role are left out, a null text is empty. Repeated rows
 count once; turns of the same number follow each other by role and text. A conversation of
 a system turn alone has no window. An empty table gives an empty result; other columns
 aren't read.
@@ -31,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeframe.llm import _shared as S
+
 TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
 SCHEMA = "conv_id long, window int, history_turn long, first_turn long, last_turn long, n_tokens long, target_tokens long, mask string, over_budget boolean, text string"
 
@@ -84,9 +87,9 @@ def _windows(budget: int, history: int):
 
 def chat_windows(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", budget: int = 768, history: int = 192, overhead: int = 3) -> DataFrame:
     """Training windows of conversations."""
-    turns = conversations.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    turns = turns.where("conv_id is not null and turn is not null and role is not null").distinct()
+    turns = conversations.select(S.id_of(conversations, conv_col).alias("conv_id"), S.id_of(conversations, turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    turns = turns.where("conv_id is not null and turn is not null and role is not null")
     counted = turns.withColumn("tokens", (F.regexp_count("text", F.lit(TOKEN)) + overhead).cast("long"))
-    # Every turn of a conversation meets in one shuffle, and sorts there.
-    whole = counted.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "tokens"))).alias("turns"))
+    # Every turn of a conversation meets in one shuffle; there repeated rows go and turns sort.
+    whole = counted.groupBy("conv_id").agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text", "tokens"))).alias("turns"))
     return whole.mapInArrow(_windows(budget, history), SCHEMA)
