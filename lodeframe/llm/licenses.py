@@ -4,21 +4,27 @@ A template is text with marked regions:
     <<beginOptional>> ... <<endOptional>>           may be left out, may be nested
     <<var;name="n";original="o";match="m">>         any words that match
 match is ".+" (one word or more), ".*", ".{a,b}" (a to b words), or a regular expression that
-each of one or more words matches in full; ".+" and ".*" take at most MOST words. A
-template compiles to a token automaton: its states are places between words, with edges
-for words, for skipping an optional region, and for the repeated words of a variable.
+each of one or more words matches in full. A template compiles to a token automaton: its
+states are places between words, with edges for words, for leaving an optional region out,
+and for the words of a variable (a loop where their number is open, so there is no limit).
 Words are runs of letters and digits in lower case, so white space, punctuation and case
 don't matter, and every mandatory word has to stand exactly where the template has it.
 
-scan() finds accepted stretches in texts: at each place the longest, then on after it.
-A template is tried only in texts that hold its rarest looking mandatory word, which Spark
-filters in the scan (exact: no other text can match). Templates of the same stretch all
-give rows.
-
-Result: doc_id, license_id, first_word, end_word (end excluded). Nulls and texts without a
-match have no rows; rows with a null id have rows with a null id; repeated rows give
-repeated rows. An empty table gives an empty result. Columns other than id and text aren't
-read. Texts are read whole.
+scan() finds accepted stretches in texts: the first place where one begins, there the one
+whose variables have as few words and whose optional regions stand where they can (as lazy
+and greedy parts of a regular expression), then on after it. All places are tried in one
+pass: states keep the earliest begin. A template is tried only in texts that hold its longest
+mandatory word, which Spark filters in the scan, and then all its mandatory words (exact: no
+other text can match). Templates of the same stretch all give rows.
+
+TEMPLATES are the files of license_templates, one for each template: whole texts of short
+licenses, standard notices and one-line references of the long ones. read_templates() reads
+others.
+
+Result: doc_id, license_id, first_word, end_word (end excluded). Ids are integers; other
+types raise a TypeError. Nulls and texts without a match have no rows; rows with a null id
+have rows with a null id; repeated rows give repeated rows. An empty table gives an empty
+result. Columns other than id and text aren't read. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -27,6 +33,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,136 +41,165 @@ from pyspark.sql import functions as F
 
 from lodeframe.llm import _shared as S
 
-MOST = 40
 _WORD = re.compile(r"[^\W_]+")
 _MARK = re.compile(r"<<(beginOptional|endOptional|var)(.*?)>>", re.S)
 
-_NOTICE = 'redistribute <<var;name="it";original="it";match=".{1,3}">> and/or modify <<var;name="it";original="it";match=".{1,3}">> under the terms of the GNU %sGeneral Public License<<beginOptional>> as published by the Free Software Foundation<<endOptional>><<beginOptional>>;<<endOptional>> <<beginOptional>>either <<endOptional>>version %s<<beginOptional>> of the License<<endOptional>><<beginOptional>>, or (at your option) any later version<<endOptional>>'
-_BSD_CONDITIONS = 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: <<beginOptional>>1 <<endOptional>>Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. <<beginOptional>>2 <<endOptional>>Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. '
-_BSD_NAMES = '<<beginOptional>>3 <<endOptional>>Neither the name of <<var;name="holder";original="the copyright holder";match=".{1,12}">> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. '
-_HOLDER = '<<var;name="holder";original="the copyright holder";match=".{1,12}">>'
-_BSD_DISCLAIMER = f'This software is provided by {_HOLDER} "as is" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. In no event shall {_HOLDER} be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage'
-
-TEMPLATES = {
-    "MIT": '<<beginOptional>>This <<var;name="work";original="software";match=".{1,3}">> is <<endOptional>>Released under the <<beginOptional>>terms of the <<endOptional>>MIT License',
-    "MIT-permission": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the <<var;name="quoted";original="Software";match=".{1,1}">>), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph) <<endOptional>>shall be included in all copies or substantial portions of the Software. The Software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall <<var;name="holder";original="the authors or copyright holders";match=".{1,12}">> be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the Software or the use or other dealings in the Software',
-    "Apache-2.0": 'Licensed under the Apache License, Version 2.0<<beginOptional>> (the <<var;name="quoted";original="License";match=".{1,1}">>)<<endOptional>>',
-    "GPL-3.0": '<<beginOptional>>This <<var;name="work";original="work";match=".{1,3}">> is <<endOptional>>licensed under the GNU General Public License<<beginOptional>> as published by the Free Software Foundation<<endOptional>>, <<beginOptional>>either <<endOptional>>version 3<<beginOptional>> of the License<<endOptional>><<beginOptional>>, or (at your option) any later version<<endOptional>>',
-    "GPL-2.0": '<<beginOptional>>This <<var;name="work";original="work";match=".{1,3}">> is <<endOptional>>licensed under the GNU General Public License<<beginOptional>> as published by the Free Software Foundation<<endOptional>>, <<beginOptional>>either <<endOptional>>version 2<<beginOptional>> of the License<<endOptional>><<beginOptional>>, or (at your option) any later version<<endOptional>>',
-    "GPL-3.0-notice": _NOTICE % ("", "3"),
-    "GPL-2.0-notice": _NOTICE % ("", "2"),
-    "LGPL-3.0-notice": _NOTICE % ("Lesser ", "3"),
-    "LGPL-2.1-notice": _NOTICE % ("Lesser ", "2.1"),
-    "BSD-3-Clause": _BSD_CONDITIONS + _BSD_NAMES + _BSD_DISCLAIMER,
-    "BSD-2-Clause": _BSD_CONDITIONS + _BSD_DISCLAIMER,
-    "CC-BY-4.0": '<<beginOptional>>This <<var;name="work";original="work";match=".{1,3}">> is <<endOptional>>licensed under <<beginOptional>>a <<endOptional>><<beginOptional>>the <<endOptional>>Creative Commons Attribution 4.0<<beginOptional>> International<<endOptional>><<beginOptional>> Public<<endOptional>> License',
-    "CC-BY-SA-4.0": '<<beginOptional>>This <<var;name="work";original="work";match=".{1,3}">> is <<endOptional>>licensed under <<beginOptional>>a <<endOptional>><<beginOptional>>the <<endOptional>>Creative Commons Attribution<<beginOptional>> Share<<endOptional>> <<var;name="alike";original="ShareAlike";match="alike|sharealike">> 4.0<<beginOptional>> International<<endOptional>> License',
-    "CC-BY-NC-4.0": '<<beginOptional>>This <<var;name="work";original="work";match=".{1,3}">> is <<endOptional>>licensed under <<beginOptional>>the <<endOptional>>CC BY-NC 4.0<<beginOptional>> International<<endOptional>><<beginOptional>> License<<endOptional>>',
-    "MPL-2.0": 'This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0',
-    "LGPL-3.0": '<<beginOptional>>This <<var;name="work";original="library";match=".{1,3}">> is <<endOptional>>licensed under the GNU Lesser General Public License, <<beginOptional>>either <<endOptional>>version 3',
-    "Copyright-reserved": 'Copyright <<beginOptional>>(c) <<endOptional>><<var;name="year";original="2024";match="[0-9]{4}">> <<var;name="holder";original="Owner";match=".{1,6}">> All rights reserved',
-}
-
 
-@dataclass
-class Automaton:
-    """States 0..accept; words[s] = [(word, t)], skips[s] = [t], classes[s] = [(pattern or None, t)]."""
+def read_templates(folder: str | Path) -> dict[str, str]:
+    """{file name without .txt: template} of the files of a folder on the driver."""
+    return {p.stem: p.read_text(encoding="utf-8") for p in sorted(Path(folder).glob("*.txt"))}
 
-    words: list[list[tuple[str, int]]] = field(default_factory=lambda: [[]])
-    skips: list[list[int]] = field(default_factory=lambda: [[]])
-    classes: list[list[tuple[re.Pattern | None, int]]] = field(default_factory=lambda: [[]])
-    mandatory: list[str] = field(default_factory=list)
-    accept: int = 0
 
-    def state(self) -> int:
-        for x in (self.words, self.skips, self.classes):
-            x.append([])
-        return len(self.words) - 1
+TEMPLATES = read_templates(Path(__file__).parent / "license_templates")
 
-    def closure(self, states: set[int]) -> set[int]:
-        todo, seen = list(states), set(states)
-        while todo:
-            for t in self.skips[todo.pop()]:
-                if t not in seen:
-                    seen.add(t)
-                    todo.append(t)
-        return seen
-
-    def step(self, states: set[int], word: str) -> set[int]:
-        to = {t for s in states for x, t in self.words[s] if x == word}
-        to |= {t for s in states for p, t in self.classes[s] if p is None or p.fullmatch(word)}
-        return self.closure(to)
-
-    def longest(self, words: list[str], at: int) -> int:
-        """End of the longest accepted stretch that begins at a word, or -1."""
-        states, end = self.closure({0}), -1
-        for i in range(at, len(words)):
-            states = self.step(states, words[i])
-            if not states:
-                break
-            if self.accept in states:
-                end = i + 1
-        return end
+#: ("word", w), ("optional", nodes) or ("var", (low, high or None, pattern or None)).
+Node = tuple[str, object]
 
 
-def compile_template(template: str) -> Automaton:
-    a = Automaton()
-    here, depth, at = 0, [], 0  # depth: where each open optional region began
+def parse_template(template: str) -> list[Node]:
+    open_, at = [[]], 0
     for m in [*_MARK.finditer(template), None]:
-        for word in _WORD.findall(template[at : m.start() if m else None].lower()):
-            to = a.state()
-            a.words[here].append((word, to))
-            if not depth:
-                a.mandatory.append(word)
-            here = to
+        open_[-1] += [("word", w) for w in _WORD.findall(template[at : m.start() if m else None].lower())]
         if m is None:
             break
         at = m.end()
         if m[1] == "beginOptional":
-            depth.append(here)
+            open_.append([])
         elif m[1] == "endOptional":
-            if not depth:
+            if len(open_) == 1:
                 raise ValueError("endOptional without beginOptional")
-            to = a.state()
-            a.skips[here].append(to)
-            a.skips[depth.pop()].append(to)
-            here = to
+            region = open_.pop()
+            open_[-1].append(("optional", region))
         else:
             match = re.search(r'match="(.*?)"', m[2])
             rule = match[1] if match else ".+"
             counted = re.fullmatch(r"\.\{(\d+),(\d+)\}", rule)
-            low, high, pattern = (1, MOST, None) if rule == ".+" else (0, MOST, None) if rule == ".*" else (int(counted[1]), int(counted[2]), None) if counted else (1, MOST, re.compile(rule))
-            out = a.state()
-            if not low:
-                a.skips[here].append(out)
-            for k in range(1, high + 1):
-                to = a.state()
-                a.classes[here].append((pattern, to))
-                if k >= low:
-                    a.skips[to].append(out)
-                here = to
-            here = out
-    if depth:
+            if counted:
+                open_[-1].append(("var", (int(counted[1]), int(counted[2]), None)))
+            else:
+                open_[-1].append(("var", (0 if rule == ".*" else 1, None, None if rule in (".+", ".*") else re.compile(rule))))
+    if len(open_) > 1:
         raise ValueError("beginOptional without endOptional")
-    if not a.mandatory:
+    if not any(kind == "word" for kind, _ in open_[0]):
         raise ValueError("a template needs a mandatory word")
-    a.accept = here
+    return open_[0]
+
+
+@dataclass
+class Automaton:
+    """A state takes a word (words, or classes for any word or a pattern) or goes on to others, the preferred first (skips).
+
+    next[s]: what follows a state that took a word, as states that take one, in order of
+    preference; the last state is the accepting one.
+    """
+
+    words: list[str | None] = field(default_factory=list)
+    classes: list[re.Pattern | bool] = field(default_factory=list)
+    skips: list[list[int] | None] = field(default_factory=list)
+    mandatory: list[str] = field(default_factory=list)
+    next: list[list[int]] = field(default_factory=list)
+    begin: list[int] = field(default_factory=list)
+
+    def add(self, word: str | None = None, kind: re.Pattern | bool = False, skip: list[int] | None = None) -> int:
+        self.words.append(word)
+        self.classes.append(kind)
+        self.skips.append(skip)
+        return len(self.words) - 1
+
+    def emit(self, nodes: list[Node]) -> None:
+        for kind, x in nodes:
+            if kind == "word":
+                self.add(word=x)
+            elif kind == "optional":
+                fork = self.add(skip=[])
+                self.emit(x)
+                self.skips[fork] = [fork + 1, len(self.words)]
+            else:
+                low, high, pattern = x
+                for _ in range(low):
+                    self.add(kind=pattern or True)
+                if high is None:
+                    fork = self.add(skip=[])
+                    self.add(kind=pattern or True)
+                    self.add(skip=[fork])
+                    self.skips[fork] = [len(self.words), fork + 1]
+                else:
+                    forks = []
+                    for _ in range(high - low):
+                        forks.append(self.add(skip=[]))
+                        self.add(kind=pattern or True)
+                    for fork in forks:
+                        self.skips[fork] = [len(self.words), fork + 1]
+
+    def reached(self, state: int) -> list[int]:
+        """The states that take a word, or accept, from a state on, in order of preference."""
+        out, seen, todo = [], set(), [state]
+        while todo:
+            s = todo.pop()
+            if s in seen:
+                continue
+            seen.add(s)
+            if self.skips[s] is None:
+                out.append(s)
+            else:
+                todo += reversed(self.skips[s])
+        return out
+
+    def takes(self, state: int, word: str) -> bool:
+        kind = self.classes[state]
+        return self.words[state] == word if kind is False else kind is True or kind.fullmatch(word) is not None
+
+
+def compile_template(template: str) -> Automaton:
+    nodes = parse_template(template)
+    a = Automaton(mandatory=[x for kind, x in nodes if kind == "word"])
+    a.emit(nodes)
+    accept = a.add()
+    a.begin = a.reached(0)
+    a.next = [a.reached(s + 1) if a.skips[s] is None and s != accept else [] for s in range(len(a.words))]
     return a
 
 
-def find(words: list[str], automaton: Automaton) -> list[tuple[int, int]]:
-    """(first, end) of accepted stretches, longest at each place, without overlap."""
-    begin = automaton.closure({0})
-    first = {x for s in begin for x, _ in automaton.words[s]}
-    free = any(automaton.classes[s] for s in begin)
-    out, at = [], 0
-    while at < len(words):
-        end = automaton.longest(words, at) if free or words[at] in first else -1
-        if end > at:
-            out.append((at, end))
-            at = end
-        else:
-            at += 1
+def find(words: list[str], a: Automaton) -> list[tuple[int, int]]:
+    """(first, end) of accepted stretches without overlap, in one pass but for what is looked at beyond an end."""
+    accept = len(a.words) - 1
+    free = any(a.classes[s] is not False for s in a.begin)
+    first = {a.words[s] for s in a.begin}
+    out: list[tuple[int, int]] = []
+    live: list[tuple[int, int]] = []
+    found, i = None, 0
+    while i < len(words) or found:
+        if not live:
+            if found:
+                out.append(found)
+                i, found = found[1], None
+            while i < len(words) and not free and words[i] not in first:
+                i += 1
+        if i == len(words):
+            if found:
+                live = []
+                continue
+            break
+        word, seen, after = words[i], set(), []
+        # A stretch that begins here comes after all that began before, and only while none is found.
+        for s, start in live if found else [*live, *((s, i) for s in a.begin)]:
+            if not a.takes(s, word):
+                continue
+            if accept in a.next[s]:
+                for t in a.next[s]:
+                    if t == accept:
+                        found = (start, i + 1)
+                        break
+                    if t not in seen:
+                        seen.add(t)
+                        after.append((t, start))
+                break
+            for t in a.next[s]:
+                if t not in seen:
+                    seen.add(t)
+                    after.append((t, start))
+        live = after
+        i += 1
     return out
 
 
@@ -188,7 +224,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     """License wording in texts."""
     templates = TEMPLATES if templates is None else templates
     telling = sorted({max(compile_template(t).mandatory, key=lambda w: (len(w), w)) for t in templates.values()})
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(S.id_of(docs, id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     lower = F.lower("text")
     held = reduce(lambda a, b: a | b, (F.contains(lower, F.lit(w)) for w in telling), F.lit(False))
     return texts.where(held).mapInArrow(_scan(templates), "doc_id long, license_id string, first_word int, end_word int")
