@@ -5,9 +5,12 @@
    is cut at its separators (: = , / quotes, brackets, ...) where it isn't a seed itself and
    a part is one or a label of letters stands first, as in email:jo@ex.com. Seeds are those that a strict validator accepts (addresses of
    mail and of hosts, card numbers by check digit, long keys, ...).
+   Strings without a digit or '@' (names, street names, word-like passwords) are never
+   candidates.
 2. Each occurrence induces lexical patterns: its shape (letters a, digits 9, runs of both x,
    with and without lengths) and the shape with the word before, the two words before, or
-   the word after it. Candidates and patterns form a bipartite graph.
+   the word after it, at any distance and of any length. Candidates and patterns form a
+   bipartite graph.
 3. Spark scores the graph by turns: a pattern's score for a kind is the sum of its
    instances' scores for the kind / (number of its instances + 1); a pattern of
    min_support instances or more and a score of min_confidence or more is trusted, and an
@@ -16,7 +19,7 @@
 
 Result of identifiers(): doc_id, begin, stop (in characters, stop excluded), kind, entity,
 score, for every occurrence of an instance that scored. Kinds in a tie: the later in the
-alphabet. Nulls and empty texts have no rows; rows with a null id have theirs, with a null
+alphabet. Ids are integers; other types raise a TypeError. Nulls and empty texts have no rows; rows with a null id have theirs, with a null
 id; repeated rows have theirs once for each id. An empty table gives an empty result.
 Columns other than id and text aren't read. Texts are read whole. mask() replaces each
 occurrence by [KIND] and keeps all rows and columns.
@@ -104,6 +107,27 @@ def _parts(text: str, begin: int, stop: int) -> list[tuple[int, int]]:
     return out if cut else [whole]
 
 
+def words_before(text: str, place: int) -> list[str]:
+    """The two words (or fewer) that end before a place, whole whatever their length."""
+    width = 60
+    while True:
+        words = _WORD.findall(text[max(0, place - width) : place].lower())
+        # The first of three or more may be cut where the slice begins, the last two aren't.
+        if len(words) > 2 or width >= place:
+            return words[-2:]
+        width *= 4
+
+
+def word_after(text: str, place: int) -> list[str]:
+    """The word that begins after a place, whole, or none."""
+    width = 40
+    while True:
+        words = _WORD.findall(text[place : place + width].lower())
+        if len(words) > 1 or place + width >= len(text):
+            return words[:1]
+        width *= 4
+
+
 def occurrences(text: str) -> list[tuple[int, int, str, str | None, list[str]]]:
     """(begin, stop, entity, seed kind, patterns) of each candidate of a text."""
     out = []
@@ -117,8 +141,7 @@ def occurrences(text: str) -> list[tuple[int, int, str, str | None, list[str]]]:
         entity = text[begin:stop]
         if not any(c.isdigit() or c == "@" for c in entity):
             continue
-        before = _WORD.findall(text[max(0, begin - 60) : begin].lower())[-2:]
-        after = _WORD.findall(text[stop : stop + 40].lower())[:1]
+        before, after = words_before(text, begin), word_after(text, stop)
         loose, exact = shape(entity, False), shape(entity, True)
         patterns = {f"S {exact}", f"s {loose}"}
         if before:
@@ -141,7 +164,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def identifiers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_confidence: float = 0.85, min_support: int = 10) -> DataFrame:
     """Every occurrence of an identifier."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
+    texts = docs.select(S.id_of(docs, id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
     places = S.written(texts.mapInArrow(_extract, "doc_id long, begin int, stop int, entity string, seed string, patterns array<string>").distinct())
     edges = S.written(places.select(F.explode("patterns").alias("pattern"), "entity").distinct())
     support = S.written(edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= min_support))
@@ -177,7 +200,7 @@ def mask(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     hashed = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
     spans = identifiers(hashed, "h", "t", **options).groupBy("doc_id").agg(F.collect_set(F.struct("begin", "stop", "kind", "entity")).alias(places))
     spans = S.written(spans.withColumnRenamed("doc_id", key))
-    joined = docs.withColumn(key, F.xxhash64(text_col)).join(F.broadcast(spans) if S.few(spans, places, S.BROADCAST_IDS) else spans, key, "left").drop(key)
+    joined = docs.withColumn(key, F.xxhash64(text_col)).join(F.broadcast(spans) if S.small(spans, 64, places, 96) else spans, key, "left").drop(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
