@@ -87,31 +87,41 @@ REPEATS = _repeats()
 def _warc() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
 
+    mark = "\x01"
+    names, values = (f"string_split({quote(mark.join(x))}, {quote(mark)})" for x in (warc.ENTITIES, warc.ENTITIES.values()))
+    known = f"map({names}, {values})"
+    c1 = f"map({list(warc.C1)}, {list(warc.C1.values())})"
+
     def replaced(c: str) -> str:
-        for a, b in warc.ENTITIES:
-            c = f"replace({c}, {quote(a)}, {quote(b)})"
-        return c
+        name = f"regexp_extract(x, '{warc.ENTITY}', 1)"
+        number = f"CASE WHEN lower(substr({name}, 2, 1)) = 'x' THEN try_cast('0x' || substr({name}, 3) AS BIGINT) ELSE try_cast(substr({name}, 2) AS BIGINT) END"
+        number = f"coalesce({c1}[try_cast({number} AS INTEGER)], {number}, 0)"
+        char = f"CASE WHEN {number} = 0 OR {number} BETWEEN 55296 AND 57343 OR {number} > 1114111 THEN chr(65533) ELSE chr(({number})::INTEGER) END"
+        value = f"CASE WHEN starts_with({name}, '#') THEN {char} ELSE {known}[{name}] END"
+        piece = f"coalesce({value} || substr(x, length({name}) + 2), '&' || x)"
+        return f"(string_split({c}, '&')[1] || array_to_string(list_transform(string_split({c}, '&')[2:], lambda x: {piece}), ''))"
 
     body = "html"
     for pattern in warc.DROPPED:
         body = f"regexp_replace({body}, {quote(pattern)}, ' ', 'g')"
     body = f"regexp_replace(regexp_replace({body}, {quote(warc.BREAKS)}, chr(10), 'g'), {quote(warc.TAGS)}, '', 'g')"
-    body = f"regexp_replace({replaced(body)}, '[ \\t\\r\\f]+', ' ', 'g')"
+    body = f"regexp_replace({replaced(body)}, '{warc.BLANKS}', ' ', 'g')"
     body = f"regexp_replace(regexp_replace({body}, ' ?\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')"
     crlf = "chr(13) || chr(10)"
     field = lambda name, value: f"CASE WHEN {value} <> '' THEN '{name}: ' || {value} || {crlf} ELSE '' END"
     uuid = lambda c: f"'<urn:uuid:' || substr(md5({c}), 1, 8) || '-' || substr(md5({c}), 9, 4) || '-' || substr(md5({c}), 13, 4) || '-' || substr(md5({c}), 17, 4) || '-' || substr(md5({c}), 21, 12) || '>'"
     title = replaced("regexp_extract(html, " + quote(warc.TITLE) + ", 1)")
-    title = f"trim(regexp_replace({title}, '\\s+', ' ', 'g'))"
+    title = f"trim(regexp_replace({title}, '[\\s\u00a0]+', ' ', 'g'))"
+    value = lambda c: f"regexp_replace({c}, {quote(warc.QUOTES)}, '', 'g')"
     return f"""
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages WHERE page_id IS NOT NULL),
 r AS (SELECT page_id, url AS target_uri, html, {uuid("('response|' || page_id || '|' || coalesce(url, ''))")} AS refers_to,
         'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf} || 'Content-Length: ' || strlen(html) || {crlf} || {crlf} AS source_headers,
-        'sha256:' || sha256(html) AS source_digest, {title} AS title, regexp_extract(html, {quote(warc.LANGUAGE)}, 1) AS language,
-        regexp_extract_all(html, {quote(warc.LINK)}, 1) AS found FROM p),
+        'sha256:' || sha256(html) AS source_digest, {title} AS title, {value(f"regexp_extract(html, {quote(warc.LANGUAGE)}, 1)")} AS language,
+        list_transform(regexp_extract_all(html, {quote(warc.LINK)}, 1), lambda x: {value("x")}) AS found FROM p),
 l AS (SELECT *, list_filter(found, lambda x, i: list_position(found, x) = i) AS links FROM r),
 b AS (SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
-        {field("title", "title")} || {field("language", "language")} || coalesce(array_to_string(list_transform(links, lambda x: 'outlink: ' || {replaced("x")} || ' L a/@href' || {crlf}), ''), '') AS block FROM l
+        {field("title", "title")} || {field("language", "language")} || coalesce(array_to_string(list_transform(links, lambda link: 'outlink: ' || {replaced("link")} || ' L a/@href' || {crlf}), ''), '') AS block FROM l
       UNION ALL
       SELECT * FROM (SELECT *, 'conversion', 'text/plain; charset=utf-8', {body} AS block FROM l) WHERE block <> '')
 SELECT page_id, record_type, {uuid("(record_type || '|' || refers_to)")} AS record_id, refers_to, target_uri, '2024-01-01T00:00:00Z' AS warc_date, content_type,
