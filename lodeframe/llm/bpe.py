@@ -9,10 +9,12 @@ The vocabulary is a file of lines "base64(token) rank" (path is a parameter; it
 trained or copied here). Every byte is a token of it, so any text can be encoded; special
 tokens' strings are ordinary text. The ids are those of other encoders of that vocabulary.
 
-Result of encode(): doc_id, n_tokens, token_ids, round_trip (decoding gives the text's bytes
-again). A null text has null in all three; an empty text has no tokens. Rows with a null
-id and repeated rows stay as they are. Columns other than id and text aren't read.
-decode() is the inverse; ids that the vocabulary lacks make the text null.
+Result of encode(): doc_id, n_tokens, token_ids and, with verify, round_trip (decoding gives
+the text's bytes again). A null text has null in all three; an empty text has no tokens.
+Document ids are integers; other types raise a TypeError. Rows with a null id and repeated
+rows stay as they are. An empty table gives an empty result. Columns other than id and text
+aren't read. decode() is the inverse; token ids that the vocabulary lacks, and null ones,
+make the text null, bytes that aren't UTF-8 become U+FFFD.
 """
 
 from __future__ import annotations
@@ -162,7 +164,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _encode(path: str):
+def _encode(path: str, verify: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for part in S.chunks(batches):
@@ -171,25 +173,27 @@ def _encode(path: str):
                 ids = np.frombuffer(e.ids(text or ""), np.int32)
                 values.append(ids)
                 counts.append(len(ids))
-                same.append(None if text is None else e.decode(ids.tolist()) == text.encode("utf-8", "surrogatepass"))
+                if verify:
+                    same.append(None if text is None else e.decode(ids.tolist()) == text.encode("utf-8", "surrogatepass"))
             null = pc.is_null(part.column(1))
             flat = np.concatenate(values) if values else np.zeros(0, np.int32)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=null)
             number = pa.array(np.array(counts, np.int32), mask=np.asarray(null))
-            yield pa.RecordBatch.from_arrays([part.column(0), number, ids, pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "token_ids", "round_trip"])
+            columns = {"doc_id": part.column(0), "n_tokens": number, "token_ids": ids} | ({"round_trip": pa.array(same, pa.bool_())} if verify else {})
+            yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """Each text's tokens, and whether they decode to it."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(_encode(vocabulary), "doc_id long, n_tokens int, token_ids array<int>, round_trip boolean")
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, verify: bool = True) -> DataFrame:
+    """Each text's tokens and, with verify, whether they decode to it."""
+    texts = docs.select(S.id_of(docs, id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return texts.mapInArrow(_encode(vocabulary, verify), "doc_id long, n_tokens int, token_ids array<int>" + ", round_trip boolean" * verify)
 
 
 def decode(tokens: DataFrame, id_col: str = "doc_id", tokens_col: str = "token_ids", vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, text of each row of token ids; invalid UTF-8 becomes U+FFFD."""
+    """doc_id, text of each row of token ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary)
@@ -202,4 +206,4 @@ def decode(tokens: DataFrame, id_col: str = "doc_id", tokens_col: str = "token_i
                     out.append(None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
 
-    return tokens.select(F.col(id_col).cast("long").alias("doc_id"), F.col(tokens_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return tokens.select(S.id_of(tokens, id_col).alias("doc_id"), F.col(tokens_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
