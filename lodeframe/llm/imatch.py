@@ -14,7 +14,8 @@ grow with the corpus: terms of df >= min_share * N number at most (mean distinct
 a document) / min_share; max_lexicon checks it.
 
 Result: doc_id, n_terms (distinct terms in the band), fp_0 .. fp_{lexicons-1}. A
-fingerprint without terms is null: so for null and empty texts. Rows with a null id stay;
+fingerprint without terms is null: so for null and empty texts. Ids are integers; other types
+raise a TypeError. Rows with a null id stay;
 each row counts as a document of its own. Order and repetition of terms don't matter. An
 empty table gives an empty result. Columns other than id and text aren't read.
 """
@@ -81,7 +82,7 @@ def _fingerprints(lexicon, lexicons: int):
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_share: float = 0.002, max_share: float = 0.05, lexicons: int = 4, keep: int = 192, max_lexicon: int = 2_000_000) -> DataFrame:
     """The I-Match fingerprints of each document."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(S.id_of(docs, id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = docs.count()
     counted = texts.select("text").mapInArrow(_frequencies, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
     band = counted.where((F.col("df") >= 2) & (F.col("df") >= F.lit(min_share) * n) & (F.col("df") <= F.lit(max_share) * n)).select("term")
