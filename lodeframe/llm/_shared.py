@@ -240,12 +240,3 @@ def together(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[
             held, count = [], 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
-#: Kept until the operators that count entries use small().
-BROADCAST_IDS = 2_000_000
-
-
-def few(rows: DataFrame, lists: str, most: int = 4 * BROADCAST_IDS) -> bool:
-    total = rows.agg(F.sum(F.size(lists) + 2)).first()[0]
-    return (total or 0) <= most

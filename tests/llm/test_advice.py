@@ -95,3 +95,41 @@ def test_whole_licence_texts_are_compared(spark):
     rows = licenses.scan(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
     assert {(r.doc_id, r.license_id) for r in rows} == set(enumerate([*names, *notices]))
     assert all(len(texts[i].split()) > 150 for i in range(3))
+
+
+def test_regions_have_no_limit(spark):
+    """A holder of any number of words, once 40 at most."""
+    holder = " ".join(f"name{k}" for k in range(300))
+    text = plain(licenses.TEMPLATES["BSD-3-Clause"]).replace("the copyright holder", holder)
+    found = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [(r.license_id, r.first_word) for r in found] == [("BSD-3-Clause", 0)]
+    words = ["a", *["x"] * 41, "b"]
+    assert licenses.find(words, licenses.compile_template('a <<var;name="v";original="o";match=".+">> b')) == [(0, 43)]
+
+
+def test_licences_are_told_apart(spark):
+    names = [n for n in licenses.TEMPLATES if len(licenses.TEMPLATES[n]) > 300 and "notice" not in n]
+    rows = licenses.scan(spark.createDataFrame([(k, plain(licenses.TEMPLATES[n])) for k, n in enumerate(names)], "doc_id long, text string")).collect()
+    assert {"MIT-permission", "MIT-0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "Zlib", "BSL-1.0", "Unlicense"} <= set(names)
+    assert sorted((r.doc_id, r.license_id) for r in rows) == list(enumerate(names))
+    notices = [n for n in licenses.TEMPLATES if n.endswith("GPL-2.0-notice") or n.endswith("GPL-3.0-notice") or n == "LGPL-2.1-notice"]
+    rows = licenses.scan(spark.createDataFrame([(k, plain(licenses.TEMPLATES[n])) for k, n in enumerate(notices)], "doc_id long, text string")).collect()
+    assert len(notices) == 5 and sorted((r.doc_id, r.license_id) for r in rows) == list(enumerate(notices))
+
+
+def test_context_is_whole_words():
+    """Words before and after a candidate, whatever their length and distance, once 60 and 40 characters of them."""
+    long = "y" * 80
+    text = f"Acc {long} {'-' * 200} 4471-QX {'.' * 300} {long}z end"
+    ((_, _, entity, _, patterns),) = pii.occurrences(text)
+    assert entity == "4471-QX" and f"L {long} _ 9-a" in patterns and f"LL acc {long} _ 9-a" in patterns and f"R 9-a _ {long}z" in patterns
+    assert pii.words_before("ab", 2) == ["ab"] and pii.words_before("", 0) == [] and pii.word_after("x  ", 1) == []
+
+
+def test_an_item_with_long_insertions_leaks(spark):
+    """90 words with two stretches of 40 new ones: (2 * 90 - 80) / 180, once cut off beyond 12 words."""
+    item = [f"w{k}" for k in range(90)]
+    text = ["before", *item[:30], *(f"a{k}" for k in range(40)), *item[30:60], *(f"b{k}" for k in range(40)), *item[60:], "after"]
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    (r,) = decontam.leaks(spark.createDataFrame([(1, " ".join(text))], "doc_id long, text string"), bench).collect()
+    assert (r.doc_id, r.item_id, r.first_word, r.end_word) == (1, 7, 1, 171) and abs(r.score - 100 / 180) < 1e-12
