@@ -105,7 +105,7 @@ def pending(inputs: DataFrame, manifest: DataFrame, key: str, force: bool = Fals
 def outlet_lookup(df: DataFrame, codes: DataFrame, code: str = "code") -> DataFrame:
     """df with outlet and media_category of its code, null if unknown; of codes listed twice the first name."""
     first = codes.groupBy(code).agg(F.min(F.struct("outlet", "media_category")).alias("o")).select(code, "o.*")
-    return df.join(F.broadcast(first), code, "left")
+    return df.join(first, code, "left")
 
 
 def codes_of_category(codes: DataFrame, code: str = "code") -> DataFrame:
