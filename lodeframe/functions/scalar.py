@@ -82,9 +82,9 @@ def sector_code(c: Column) -> Column:
 
 
 def goal_tag(c: Column, most: int = 17) -> Column:
-    """The leading number of a tag such as '16.5', if it is 1..most."""
-    n = F.nullif(F.regexp_extract(strip(c), r"^(\d+)", 1), F.lit("")).try_cast("int")
-    return F.when(n.between(1, most), n)
+    """The leading number of a tag such as '16.5', if it is 1..most: one expression, since filters repeat it."""
+    numbers = "|".join(str(n) for n in range(most, 0, -1))
+    return F.regexp_extract(c, rf"^\s*0*({numbers})(?![0-9])", 1).try_cast("int")
 
 
 def ladder(c: Column, steps: Sequence[tuple[float, object]], last: object) -> Column:
