@@ -138,7 +138,7 @@ def first_of_key(df: DataFrame, key: str, *order: str | Column) -> DataFrame:
 def first_n_flag(df: DataFrame, n: int, *order: str | Column, name: str = "overlap_row") -> DataFrame:
     """YES for the first n rows of the order, '' for others: a limit and a join of its keys, not one sorted task."""
     keys = df.select(*order).orderBy(*order).limit(n).withColumn(name, F.lit("YES"))
-    return df.join(F.broadcast(keys), list(order), "left").fillna("", [name])
+    return df.join(F.broadcast(keys) if n <= 100_000 else keys, list(order), "left").fillna("", [name])
 
 
 def shifts(df: DataFrame, by: str, order: str, value: str, steps: Sequence[int] = (1, 2, 3), by_value: bool = False) -> DataFrame:

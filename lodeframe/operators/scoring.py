@@ -26,7 +26,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def anchor_scores(df: DataFrame, anchors: DataFrame, key: str, vector: str) -> DataFrame:
-    """key, anchor, score of each vector with each anchor (anchor, anchor_vector); anchors are few and are sent to all."""
+    """key, anchor, score of each vector with each anchor (anchor, anchor_vector).
+
+    Anchors are sent to all tasks: they are one for each topic, and more than 10,000 are refused.
+    """
+    if anchors.limit(10_001).count() > 10_000:
+        raise ValueError("over 10,000 anchors: too many to compare every vector with")
     return df.select(key, vector).crossJoin(F.broadcast(anchors)).select(key, "anchor", cosine(F.col(vector), F.col("anchor_vector")).alias("score"))
 
 
@@ -61,7 +66,12 @@ def similarity_intensity(score: Column) -> Column:
     return F.when(score < 0.35, 0).when(score < 0.5, 1).when(score < 0.65, 2).otherwise(3)
 
 
-SENTIMENTS = {"positive": "positive", "pos": "positive", "긍정": "positive", "label_2": "positive", "negative": "negative", "neg": "negative", "부정": "negative", "label_0": "negative", "neutral": "neutral", "중립": "neutral", "label_1": "neutral"}
+#: Labels of models by sentiment; the numbered ones are those of unnamed three-class models.
+SENTIMENTS = {
+    **dict.fromkeys(("positive", "pos", "긍정", "호의적", "label_2"), "positive"),
+    **dict.fromkeys(("negative", "neg", "부정", "비판적", "label_0"), "negative"),
+    **dict.fromkeys(("neutral", "neu", "중립", "mixed", "label_1"), "neutral"),
+}
 
 
 def sentiment_name(label: Column) -> Column:
