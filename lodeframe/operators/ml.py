@@ -1,90 +1,172 @@
-"""Text classifiers of Spark ML: character or word TF-IDF with a balanced logistic model."""
+"""Text classifiers: TF-IDF of character or word n-grams beside given features, and a balanced logistic model.
+
+Spark ML counts the n-grams and fits the model on the labelled rows; scoring the corpus takes
+sparse counts through numpy, a batch at a time (no dense vectors, no rows in Python).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeframe.operators.sampling import folds
+from lodeframe.sources.scratch import written
 
 
 def char_grams(text: Column, low: int = 2, high: int = 4) -> Column:
-    """Character n-grams inside words, each word padded by a blank on both sides."""
+    """Character n-grams inside words, each word padded by a blank on both sides; words shorter than low are one n-gram."""
     tokens = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
     padded = F.transform(tokens, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
     def of(word: Column, n: int) -> Column:
         places = F.sequence(F.lit(1), F.greatest(F.length(word) - (n - 1), F.lit(1)))
-        return F.transform(places, lambda i: F.substring(word, i, F.lit(n)))
+        grams = F.transform(places, lambda i: F.substring(word, i, F.lit(n)))
+        return grams if n == low else F.when(F.length(word) >= n, grams).otherwise(F.array().cast("array<string>"))
 
     return F.flatten(F.transform(padded, lambda w: F.concat(*(of(w, n) for n in range(low, high + 1)))))
 
 
 def word_grams(text: Column, high: int = 2) -> Column:
-    """Words of two characters or more and their neighbours."""
+    """Words of two characters or more, and runs of up to high of them.
+
+    Runs come of the shorter ones and the words moved on by zip_with: nothing is evaluated once for each place.
+    """
     w = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    out = w
+    parts = [w]
     for n in range(2, high + 1):
-        places = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        out = F.concat(out, F.transform(places, lambda i, n=n: F.array_join(F.slice(w, i, F.lit(n)), " ")))
-    return out
+        parts.append(F.array_compact(F.zip_with(parts[-1], F.slice(w, n, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))))
+    return F.concat(*parts)
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
-    """df with weight = n / (2 * class size)."""
+    """df with weight = n / (classes * class size)."""
     n = df.groupBy(label).count().collect()
     total = sum(r["count"] for r in n)
     w = F.create_map(*(F.lit(x) for r in n for x in (r[0], total / (len(n) * r["count"]))))
     return df.withColumn("weight", F.element_at(w, F.col(label)))
 
 
-def text_classifier(grams: str = "grams", label: str = "label", vocabulary: int = 50_000, min_df: float = 2, reg: float = 1e-4, extra: Sequence[str] = ()) -> Pipeline:
-    """grams -> TF-IDF of unit length (with 1 added to idf) and extra features -> logistic model with column weight."""
-    counts = CountVectorizer(inputCol=grams, outputCol="tf", vocabSize=vocabulary, minDF=min_df)
-    idf = IDF(inputCol="tf", outputCol="tfidf")
-    unit = Normalizer(inputCol="tfidf", outputCol="unit")
-    features = VectorAssembler(inputCols=["unit", *extra], outputCol="features")
-    model = LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight", regParam=reg, elasticNetParam=0.0, standardization=False, maxIter=100)
-    return Pipeline(stages=[counts, idf, unit, features, model])
-
-
-def score(model: PipelineModel, df: DataFrame, name: str = "oda", threshold: float = 0.5, digits: int = 4) -> DataFrame:
+@dataclass
+class TextModel:
+    """A fitted classifier. grams names the column of n-grams, extra those of other features."""
+
+    coef: list[float]
+    intercept: float
+    extra: list[str] = field(default_factory=list)
+    grams: str | None = None
+    counts: CountVectorizerModel | None = None
+    idf: list[float] = field(default_factory=list)
+    sublinear: bool = False
+
+    def counted(self, df: DataFrame) -> DataFrame:
+        """df with __i and __v: the n-grams of the vocabulary that a text has, and how often."""
+        u = F.unwrap_udt(F.col("__tf"))
+        return self.counts.transform(df).select(*df.columns, u["indices"].alias("__i"), u["values"].alias("__v"))
+
+    def probability(self, df: DataFrame, name: str) -> DataFrame:
+        """df with the positive class's probability: sparse counts go to numpy, a batch at a time, and one number comes back."""
+        k, intercept, sublinear, grams = len(self.extra), self.intercept, self.sublinear, bool(self.grams)
+        coef, idf = np.array(self.coef), np.array(self.idf)
+
+        @F.arrow_udf("double")
+        def logistic(*columns: pa.Array) -> pa.Array:
+            z = np.full(len(columns[0]), intercept)
+            if grams:
+                of = np.repeat(np.arange(len(z)), columns[0].value_lengths().to_numpy(zero_copy_only=False))
+                i, v = (c.flatten().to_numpy(zero_copy_only=False) for c in columns[:2])
+                w = (1 + np.log(v) if sublinear else v) * idf[i]
+                norm = np.sqrt(np.bincount(of, w * w, len(z)))
+                z = z + np.bincount(of, w * coef[k:][i], len(z)) / np.where(norm, norm, 1)
+            for c, x in zip(coef[:k], columns[2 * grams :], strict=True):
+                z = z + c * x.to_numpy(zero_copy_only=False)
+            return pa.array(1 / (1 + np.exp(-z)))
+
+        rows = self.counted(df) if grams else df
+        return rows.select(*df.columns, logistic(*(("__i", "__v") if grams else ()), *(F.col(x).cast("double") for x in self.extra)).alias(name))
+
+
+def fit(df: DataFrame, label: str = "label", grams: str | None = None, extra: Sequence[str] = (), vocabulary: int = 50_000, min_df: float = 2, sublinear: bool = False, c: float = 1.0) -> TextModel:
+    """A balanced logistic model of labelled rows (label 0 or 1).
+
+    n-grams: those in min_df texts or more, the vocabulary most frequent; tf (1 + ln tf if
+    sublinear) times idf = ln((n + 1) / (df + 1)) + 1, of unit length. Extra features are
+    taken as they are. The penalty is that of inverse strength c: 1 / (c * sum of weights).
+    Labelled rows are few: they are written once, and only they become Python vectors.
+    """
+    df = class_weights(written(df.select(label, *([grams] if grams else ()), *extra), "labelled"), label)
+    model = TextModel([], 0.0, list(extra), grams, sublinear=sublinear)
+    rows = df
+    if grams:
+        model.counts = CountVectorizer(inputCol=grams, outputCol="__tf", vocabSize=vocabulary, minDF=min_df).fit(df)
+        model.idf = [x + 1 for x in IDF(inputCol="__tf", outputCol="__idf").fit(model.counts.transform(df)).idf.toArray().tolist()]
+        rows = model.counted(df)
+    k, idf = len(extra), np.array(model.idf)
+    size = k + len(idf)
+
+    def vector(given: list[float], places: list[int] | None, counts: list[float] | None):
+        i, v = np.array(places or (), dtype=int), np.array(counts or ())
+        w = (1 + np.log(v) if sublinear else v) * idf[i]
+        return Vectors.sparse(size, [*range(k), *(k + i)], [*given, *(w / (np.sqrt(w @ w) or 1))])
+
+    none = F.lit(None)
+    given = F.array(*(F.col(x).cast("double") for x in extra)) if extra else F.array().cast("array<double>")
+    parts = (given, F.col("__i"), F.col("__v")) if grams else (given, none.cast("array<int>"), none.cast("array<double>"))
+    features = written(rows.select(label, "weight", F.udf(vector, VectorUDT())(*parts).alias("features")), "features")
+    total = df.agg(F.sum("weight")).first()[0]
+    # An iteration is a job: rows that fit one task aren't spread over many.
+    features = features.coalesce(1 + int(total) // 20_000)
+    fitted = LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight", regParam=1 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=1000).fit(features)
+    model.coef, model.intercept = fitted.coefficients.toArray().tolist(), float(fitted.intercept)
+    return model
+
+
+def score(model: TextModel, df: DataFrame, name: str = "oda", threshold: float = 0.5, digits: int = 4) -> DataFrame:
     """df with <name>_prob and <name>_relevant."""
-    p = vector_to_array(F.col("probability"))[1]
-    out = model.transform(df).withColumn(f"{name}_prob", F.round(p, digits))
-    return out.withColumn(f"{name}_relevant", (F.col(f"{name}_prob") >= threshold).cast("int")).select(*df.columns, f"{name}_prob", f"{name}_relevant")
+    out = model.probability(df, f"{name}_prob").withColumn(f"{name}_prob", F.round(f"{name}_prob", digits))
+    return out.withColumn(f"{name}_relevant", (F.col(f"{name}_prob") >= threshold).cast("int"))
 
 
-def cross_validate(df: DataFrame, pipeline: Pipeline, label: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
+def cross_validate(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42, **options) -> DataFrame:
     """Each row scored by a model that was fitted without its fold: no label is seen twice."""
     parts = folds(df, label, key, k, seed)
     out = None
     for i in range(k):
-        model = pipeline.fit(parts.where(F.col("fold") != i))
-        scored = score(model, parts.where(F.col("fold") == i))
+        scored = score(fit(parts.where(F.col("fold") != i), label, **options), parts.where(F.col("fold") == i))
         out = scored if out is None else out.unionByName(scored)
     return out
 
 
-def score_corpus(model: PipelineModel, df: DataFrame, stratum: str, name: str = "precision") -> DataFrame:
+def rule_features(hits: Column, actor: Column, labels: Column, vocabulary: Column, shared: Column, place: Column) -> dict[str, Column]:
+    """The six features of the rules: topic hits, policy actor, number of topics, vocabulary, shared sector and place, as doubles."""
+    named = {"kw_sdg_hits": hits, "policy_actor": actor, "kw_sdg_label_count": labels, "has_dev_vocab": vocabulary, "has_cooccur_sector": shared, "has_oda_country": place}
+    return {k: F.coalesce(c.cast("double"), F.lit(0.0)) for k, c in named.items()}
+
+
+FRAME_FEATURES = ("kw_sdg_hits", "policy_actor", "kw_sdg_label_count")
+RULE_FEATURES = (*FRAME_FEATURES, "has_dev_vocab", "has_cooccur_sector", "has_oda_country")
+
+
+def score_corpus(model: TextModel, df: DataFrame, stratum: str, name: str = "precision") -> DataFrame:
     """Scores of all rows that aren't negative: the filter comes before the features."""
     return score(model, df.where(F.col(stratum) != "negative"), name)
 
 
-def compare_scorers(df: DataFrame, scorers: dict[str, Column | Pipeline], label: str, key: str, ks: Sequence[int] = (50, 100, 200), k: int = 5) -> DataFrame:
-    """Average precision and precision at k of each scorer: a column, or a model scored out of fold."""
+def compare_scorers(df: DataFrame, scorers: dict[str, Column | dict], label: str, key: str, ks: Sequence[int] = (50, 100, 200, 400), k: int = 5) -> DataFrame:
+    """Average precision and precision at k of each scorer: a column, or the options of a model that is scored out of fold."""
     from lodeframe.operators.stats import ranking_metrics
 
     out = None
     for name, scorer in scorers.items():
-        if isinstance(scorer, Pipeline):
-            rows = cross_validate(df, scorer, label, key, k).select(key, label, F.col("oda_prob").alias("score"))
+        if isinstance(scorer, dict):
+            rows = cross_validate(df, label, key, k, **scorer).select(key, label, F.col("oda_prob").alias("score"))
         else:
             rows = df.select(key, label, scorer.alias("score"))
         one = ranking_metrics(rows, label, "score", key, ks).select(F.lit(name).alias("scorer"), "*")
@@ -92,4 +174,14 @@ def compare_scorers(df: DataFrame, scorers: dict[str, Column | Pipeline], label:
     return out
 
 
-__all__ = ["char_grams", "class_weights", "compare_scorers", "cross_validate", "score", "score_corpus", "text_classifier", "word_grams"]
+def three_scorers(grams: str, vocabulary: int = 3000) -> dict[str, dict]:
+    """A: what the sampling frame has; B: all rules; C: B and the text."""
+    return {"A": {"extra": FRAME_FEATURES}, "B": {"extra": RULE_FEATURES}, "C": {"extra": RULE_FEATURES, "grams": grams, "vocabulary": vocabulary}}
+
+
+def stratum_agreement(df: DataFrame, candidate: str, stratum: str) -> DataFrame:
+    """n, and the share of rows whose recomputed candidate flag says what their recorded stratum says."""
+    return df.agg(F.count("*").alias("n"), F.round(F.avg((F.coalesce(F.col(candidate), F.lit(False)) == (F.col(stratum) == "candidate")).cast("double")), 6).alias("agreement"))
+
+
+__all__ = ["FRAME_FEATURES", "RULE_FEATURES", "TextModel", "char_grams", "class_weights", "compare_scorers", "cross_validate", "fit", "rule_features", "score", "score_corpus", "stratum_agreement", "three_scorers", "word_grams"]

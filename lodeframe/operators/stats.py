@@ -6,9 +6,13 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeframe.operators.order import cumulated
+from lodeframe.shipping import ship
+
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
     tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
@@ -46,11 +50,35 @@ def r_p_value(r: float, n: int) -> float:
     return 0.0 if abs(r) >= 1 else t_p_value(r * math.sqrt((n - 2) / (1 - r * r)), n - 2)
 
 
+def p_of_r(r: Column, n: Column) -> Column:
+    """r_p_value of columns, a batch at a time; null for fewer than three pairs."""
+
+    @F.pandas_udf("double")
+    def p(rs: pd.Series, ns: pd.Series) -> pd.Series:
+        return pd.Series([r_p_value(float(a), int(b)) for a, b in zip(rs, ns, strict=True)], dtype=float)
+
+    return F.nanvl(p(r, n), F.lit(None).cast("double"))
+
+
+def p_of_t(t: Column, df: Column) -> Column:
+    """t_p_value of columns, a batch at a time; null without a t."""
+
+    @F.pandas_udf("double")
+    def p(ts: pd.Series, dfs: pd.Series) -> pd.Series:
+        return pd.Series([float("nan") if a is None else t_p_value(float(a), float(b)) for a, b in zip(ts, dfs, strict=True)], dtype=float)
+
+    return F.nanvl(p(t, df), F.lit(None).cast("double"))
+
+
 def correlations(df: DataFrame, by: Sequence[str], x: str, y: str, min_n: int = 4) -> DataFrame:
-    """n, Pearson's r of each group; groups with fewer pairs or without variance are left out."""
+    """n, Pearson's r and its two-sided p of each group; groups with fewer pairs or without variance are left out.
+
+    Groups are few, so that the p-values (the only step in Python) are too.
+    """
+    ship(df.sparkSession)
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     out = pairs.groupBy(*by).agg(F.count("*").alias("n"), F.corr(x, y).alias("r"), F.stddev_pop(x).alias("sx"), F.stddev_pop(y).alias("sy"))
-    return out.where((F.col("n") >= min_n) & (F.col("sx") > 0) & (F.col("sy") > 0)).drop("sx", "sy")
+    return out.where((F.col("n") >= min_n) & (F.col("sx") > 0) & (F.col("sy") > 0)).drop("sx", "sy").withColumn("p", p_of_r(F.col("r"), F.col("n")))
 
 
 def average_ranks(df: DataFrame, by: Sequence[str], *columns: str) -> DataFrame:
@@ -107,24 +135,26 @@ def class_accuracy(df: DataFrame, truth: str, guess: str, min_n: int = 3) -> Dat
 
 
 def binary_metrics(df: DataFrame, truth: str, guess: str, score: str) -> DataFrame:
-    """Confusion counts, accuracy, precision, recall, F1, and the ROC area by rank sums."""
-    ranked = average_ranks(df, [], score)
+    """Confusion counts, accuracy, precision, recall, F1, and the ROC area."""
     y, g = F.col(truth) == 1, F.col(guess) == 1
-    s = ranked.agg(F.count_if(y & g).alias("tp"), F.count_if(~y & g).alias("fp"), F.count_if(y & ~g).alias("fn"), F.count_if(~y & ~g).alias("tn"), F.sum(F.when(y, F.col(f"rank_{score}"))).alias("rs"))
+    s = df.agg(F.count_if(y & g).alias("tp"), F.count_if(~y & g).alias("fp"), F.count_if(y & ~g).alias("fn"), F.count_if(~y & ~g).alias("tn"))
+    # The ROC area is the share of (positive, negative) pairs in order, half of those of equal score: from counts by score.
+    by_score = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count_if(y).alias("p"), F.count_if(~y).alias("q"))
+    below = cumulated(by_score, [score], {"cq": F.col("q")})
+    s = s.crossJoin(below.agg(F.sum(F.col("p").cast("double") * (F.col("cq") - F.col("q") / 2)).alias("pairs")))
     tp, fp, fn, tn = (F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn"))
     pos, neg = tp + fn, fp + tn
     zero = F.lit(0.0)
     return s.select(
         "tp", "fp", "fn", "tn", F.round((tp + tn) / (pos + neg), 6).alias("accuracy"), F.round(tp / F.nullif(tp + fp, zero), 6).alias("precision"), F.round(tp / F.nullif(pos, zero), 6).alias("recall"),
-        F.round(2 * tp / F.nullif(2 * tp + fp + fn, zero), 6).alias("f1"), F.round((F.col("rs") - pos * (pos + 1) / 2) / F.nullif(pos * neg, zero), 6).alias("roc_auc"),
+        F.round(2 * tp / F.nullif(2 * tp + fp + fn, zero), 6).alias("f1"), F.round(F.col("pairs") / F.nullif(pos * neg, zero), 6).alias("roc_auc"),
     )
 
 
 def ranking_metrics(df: DataFrame, truth: str, score: str, key: str, ks: Sequence[int] = (50, 100, 200, 400)) -> DataFrame:
     """Average precision (equal scores are one threshold) and precision at k (equals by key)."""
     by_score = df.groupBy(score).agg(F.count("*").alias("c"), F.count_if(F.col(truth) == 1).alias("p"))
-    w = Window.partitionBy(F.lit(1)).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    cum = by_score.select("p", F.sum("p").over(w).alias("cp"), F.sum("c").over(w).alias("cc"))
+    cum = cumulated(by_score, [F.desc(score)], {"cp": F.col("p"), "cc": F.col("c")})
     ap = cum.agg(F.round(F.sum(F.col("p") * F.col("cp") / F.col("cc")) / F.nullif(F.sum("p"), F.lit(0)), 6).alias("average_precision"))
     top = df.orderBy(F.desc(score), key).limit(max(ks)).withColumn("r", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(score), key)))
     at = top.agg(*(F.round(F.count_if((F.col("r") <= k) & (F.col(truth) == 1)) / k, 6).alias(f"precision_at_{k}") for k in ks))
@@ -163,21 +193,52 @@ def fixed_effects(rows: list[tuple], min_n: int = 10) -> dict[str, float] | None
 def within(df: DataFrame, unit: str, time: str, *columns: str) -> DataFrame:
     """dm_<column>: demeaned by unit and time, at any scale; exact for balanced panels."""
     w = lambda *by: Window.partitionBy(*by)
-    return df.withColumns({f"dm_{c}": F.col(c) - F.avg(c).over(w(unit)) - F.avg(c).over(w(time)) + F.avg(c).over(w(F.lit(1))) for c in columns})
+    means = df.agg(*(F.avg(c).alias(f"__{c}") for c in columns))
+    out = df.crossJoin(F.broadcast(means))
+    return out.withColumns({f"dm_{c}": F.col(c) - F.avg(c).over(w(unit)) - F.avg(c).over(w(time)) + F.col(f"__{c}") for c in columns}).drop(*(f"__{c}" for c in columns))
+
 
+def two_way(df: DataFrame, unit: str, time: str, x: str, y: str, min_n: int = 10) -> DataFrame:
+    """fixed_effects as one row of a table: coef, se, t_stat, p_val, n, df_r, r2; no row for fewer than min_n.
 
-def placebo(panels: dict[str, DataFrame], unit: str, time: str, x: str, y: str, steps: Sequence[int] = (1, 2, 3)) -> list[dict]:
-    """fixed_effects of y on x now, earlier and later, for each named panel (small tables)."""
+    A balanced panel (each unit at each time once) of any size is demeaned and summed in
+    Spark, which gives the same slope, errors and degrees of freedom as dummies. One with
+    gaps goes to the dummies if it is small, and is refused otherwise.
+    """
+    ship(df.sparkSession)
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(unit).alias("__u"), F.col(time).alias("__t"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    size = rows.agg(F.count("*"), F.count_distinct("__u"), F.count_distinct("__t"), F.count_distinct("__u", "__t")).first()
+    n, units, times, cells = size
+    k = units + times
+    if not n == cells == units * times:
+        if n * k > 20_000_000:
+            raise ValueError("a panel with gaps is solved on the driver, and this one is too large: fill or drop incomplete units")
+        fit = fixed_effects([tuple(r) for r in rows.collect()], min_n)
+        schema = "coef double, se double, t_stat double, p_val double, n long, df_r long, r2 double"
+        return df.sparkSession.createDataFrame([tuple(fit.values())] if fit else [], schema)
+    d = within(rows, "__u", "__t", "x", "y")
+    slope = d.agg((F.sum(F.col("dm_x") * F.col("dm_y")) / F.nullif(F.sum(F.col("dm_x") ** 2), F.lit(0.0))).alias("coef"), F.avg("y").alias("my"))
+    e = F.col("dm_y") - F.col("coef") * F.col("dm_x")
+    s = d.crossJoin(F.broadcast(slope)).groupBy("coef").agg(F.sum(F.col("dm_x") ** 2 * e**2).alias("xe"), F.sum(F.col("dm_x") ** 2).alias("xx"), F.sum(e**2).alias("ee"), F.sum((F.col("y") - F.col("my")) ** 2).alias("yy"))
+    s = s.where(F.lit(n >= min_n and n > k)).withColumn("se", F.sqrt(F.col("xe") * n / (n - k)) / F.col("xx")).withColumn("t_stat", F.col("coef") / F.nullif(F.col("se"), F.lit(0.0)))
+    return s.select("coef", "se", "t_stat", p_of_t(F.col("t_stat"), F.lit(n - k)).alias("p_val"), F.lit(n).cast("long").alias("n"), F.lit(n - k).cast("long").alias("df_r"), (1 - F.col("ee") / F.nullif(F.col("yy"), F.lit(0.0))).alias("r2"))
+
+
+def stars(p: Column) -> Column:
+    return F.when(p < 0.01, "***").when(p < 0.05, "**").when(p < 0.1, "*").otherwise("")
+
+
+def placebo(panels: dict[str, DataFrame], unit: str, time: str, x: str, y: str, steps: Sequence[int] = (1, 2, 3)) -> DataFrame:
+    """two_way of y on x now, earlier and later, for each named panel: panel, direction, k, the fit, stars."""
     from lodeframe.operators.measures import shifts
 
-    out = []
+    out = None
     for name, df in panels.items():
-        rows = shifts(df, unit, time, x, steps).select(unit, time, x, y, *(f"{s}_{k}" for s in ("lag", "lead") for k in steps)).collect()
+        moved = shifts(df, unit, time, x, steps)
         for direction, k, column in [("contemporaneous", 0, x), *((s, k, f"{s}_{k}") for s in ("lag", "lead") for k in steps)]:
-            fit = fixed_effects([(r[unit], r[time], r[column], r[y]) for r in rows])
-            if fit:
-                p = fit["p_val"]
-                out.append({"panel": name, "direction": direction, "k": k, **fit, "stars": "***" if p < 0.01 else "**" if p < 0.05 else "*" if p < 0.1 else ""})
+            fit = two_way(moved, unit, time, column, y).select(F.lit(name).alias("panel"), F.lit(direction).alias("direction"), F.lit(k).alias("k"), "*")
+            fit = fit.withColumn("stars", stars(F.col("p_val")))
+            out = fit if out is None else out.unionByName(fit)
     return out
 
 
