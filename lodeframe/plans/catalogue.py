@@ -6,6 +6,7 @@ customers), spending (lineitem), texts (documents), coders (labels) and logs (ev
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,7 +15,11 @@ from pyspark.sql import functions as F
 from lodeframe.functions import scalar, topics
 from lodeframe.operators import aid, calendar, measures, sampling, scoring, stats
 from lodeframe.plans import panels
+from lodeframe.session import spread
 from lodeframe.sources import articles as files
+from lodeframe.sources import files as by_year
+from lodeframe.sources import lexicons
+from lodeframe.sources.scratch import scratch, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,6 +35,11 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    @property
+    def texts(self) -> DataFrame:
+        """documents, in as many tasks as there are cores even if they are one small file."""
+        return spread(self.documents, "doc_id")
+
     def art(self) -> DataFrame:
         df = self.orders.join(self.customer, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(self.nation), F.col("c_nationkey") == F.col("n_nationkey"))
         return df.select(
@@ -41,7 +51,7 @@ class Tables:
         return measures.cells(self.art(), ["year", "month", "sdg", "country"], "outlet", "score", "label", positive="O", neutral="P", negative="F")
 
     def spend(self) -> DataFrame:
-        df = self.lineitem.join(F.broadcast(self.supplier.join(F.broadcast(self.nation), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")), F.col("l_suppkey") == F.col("s_suppkey"))
+        df = self.lineitem.join(self.supplier.join(F.broadcast(self.nation), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name"), F.col("l_suppkey") == F.col("s_suppkey"))
         df = df.join(self.part.select("p_partkey", "p_brand", "p_size", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
         return df.select(
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("project_id"), F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"), F.when(F.col("n_name") != "CHINA", F.col("n_name")).alias("country"), F.col("l_returnflag").alias("fund"),
@@ -141,8 +151,6 @@ def flagship_topic_country_month(t: Tables) -> DataFrame:
 
 @q("SELECT doc_id::VARCHAR AS doc_id, lang, source FROM documents")
 def s01_s10_csv_round_trip(t: Tables) -> DataFrame:
-    from lodeframe.sources.scratch import scratch
-
     path = scratch(t.spark, "csv")
     files.write_csv(t.documents.select(F.col("doc_id").cast("string").alias("doc_id"), "lang", "source"), path)
     return files.read_csv(t.spark, path, ["doc_id", "lang", "source"])
@@ -177,8 +185,6 @@ def s11_compile_month(t: Tables) -> DataFrame:
 
 @q(f"{ART} SELECT year, count(*) AS n FROM art GROUP BY year")
 def s12_split_years(t: Tables) -> DataFrame:
-    from lodeframe.sources.scratch import scratch
-
     path = scratch(t.spark, "years")
     files.write_years(t.art(), path)
     return t.spark.read.parquet(path).groupBy("year").agg(F.count("*").alias("n"))
@@ -279,7 +285,7 @@ _COUNTED = f"c AS (SELECT doc_id, text, {_COUNTS} AS c FROM documents), d AS (SE
 
 @q(f"{_COUNTED} SELECT doc_id, array_to_string(c, ',') AS counts, p::INTEGER AS sdg_label, (CASE WHEN list_max(c2) > 0 THEN list_position(c2, list_max(c2)) ELSE 0 END)::INTEGER AS sdg_secondary, CASE WHEN m > 0 THEN round(m / (m + 3.0::DOUBLE), 4) ELSE 0 END::DOUBLE AS sdg_score, (CASE WHEN m <= 0 THEN 0 WHEN m < 3 THEN 1 WHEN m < 6 THEN 2 ELSE 3 END)::INTEGER AS sdg_intensity FROM e")
 def t02_t06_topic_counts(t: Tables) -> DataFrame:
-    df = t.documents.withColumn("c", topics.occurrence_counts(F.col("text"), LEXICON)).withColumn("p", topics.primary(F.col("c")))
+    df = t.texts.withColumn("c", topics.occurrence_counts(F.col("text"), LEXICON)).withColumn("p", topics.primary(F.col("c")))
     c = F.col("c")
     return df.select("doc_id", F.array_join(c.cast("array<string>"), ",").alias("counts"), F.col("p").alias("sdg_label"), topics.secondary(c, F.col("p")).alias("sdg_secondary"), topics.score(c).alias("sdg_score"), topics.intensity(c).alias("sdg_intensity"))
 
@@ -304,7 +310,21 @@ SELECT doc_id, p::INTEGER AS sdg_label, (CASE WHEN list_max(c2) > 0 THEN list_po
  regexp_matches(l, '(?i)(?:THE OF|des)')::INTEGER AS policy_actor, list_sum(c)::INTEGER AS kw_hits FROM e""")
 def t07_t14_classify(t: Tables) -> DataFrame:
     short, long = F.concat("source", F.lit(" "), F.substring("text", 1, 120)), F.concat("source", F.lit(" "), F.substring("text", 1, 300))
-    return topics.classify(t.documents.select("doc_id", "text", "source"), short, long, LEXICON, ["eau", "hand"], ["the", "der"], ["and", "und", "les"], FRAMES, ["the", "un"], ["of", "en"], CRISES, ["THE OF", "des"]).drop("text", "source")
+    return topics.classify(t.texts.select("doc_id", "text", "source"), short, long, LEXICON, ["eau", "hand"], ["the", "der"], ["and", "und", "les"], FRAMES, ["the", "un"], ["of", "en"], CRISES, ["THE OF", "des"]).drop("text", "source")
+
+
+def _reference(t: Tables) -> lexicons.Reference:
+    """The dictionaries of these queries, by way of a file."""
+    path = scratch(t.spark, "reference")
+    data = {"topics": {str(k): v for k, v in LEXICON.items()}, "severity": ["eau", "hand"], "supportive": ["the", "der"], "opposed": ["and", "und", "les"], "frames": FRAMES, "problems": ["the", "un"], "solutions": ["of", "en"], "crises": CRISES, "actors": ["THE OF", "des"], "places": PLACES, "recipients": ["AAA", "CCC"]}
+    t.spark.createDataFrame([(json.dumps(data, ensure_ascii=False),)], "value string").coalesce(1).write.text(path)
+    return lexicons.read_reference(t.spark, path)
+
+
+@q(ORACLE["t07_t14_classify"].removeprefix("WITH "))
+def t14_classify_by_file(t: Tables) -> DataFrame:
+    short, long = F.concat("source", F.lit(" "), F.substring("text", 1, 120)), F.concat("source", F.lit(" "), F.substring("text", 1, 300))
+    return _reference(t).classify(t.texts.select("doc_id", "text", "source"), short, long).drop("text", "source")
 
 
 def _distinct_sql(terms: list[str]) -> str:
@@ -316,9 +336,9 @@ SELECT doc_id, array_to_string(list_filter([{', '.join(f"CASE WHEN s{k} > 0 THEN
  coalesce(CASE {' '.join(f"WHEN s{k} > 0 AND s{k} = greatest({', '.join(f's{j}' for j in LEXICON)}) THEN {k}" for k in sorted(LEXICON))} END, 0)::INTEGER AS top,
  array_to_string(list_filter([{', '.join(f"CASE WHEN s{k} > 0 THEN '{k}' END" for k in sorted(LEXICON))}], lambda x: x IS NOT NULL), '|') AS hits FROM s""")
 def t15_t17_distinct_terms(t: Tables) -> DataFrame:
-    df = t.documents.withColumn("m", topics.term_scores(F.col("text"), LEXICON))
+    df = t.texts.withColumn("m", topics.term_scores(F.col("text"), LEXICON))
     pairs = F.array_sort(F.transform(F.map_entries("m"), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string"))))
-    return df.select("doc_id", F.array_join(pairs, ",").alias("scores"), topics.top_of_scores(F.col("m")).cast("int").alias("top"), F.array_join(topics.topic_hits(F.col("text"), LEXICON).cast("array<string>"), "|").alias("hits"))
+    return df.select("doc_id", F.array_join(pairs, ",").alias("scores"), topics.top_of_scores(F.col("m")).cast("int").alias("top"), F.array_join(topics.topics_of_scores(F.col("m")).cast("array<string>"), "|").alias("hits"))
 
 
 def _places_sql(names: dict[str, str], text: str = "text") -> str:
@@ -332,27 +352,30 @@ def _places_sql(names: dict[str, str], text: str = "text") -> str:
 @q(f"SELECT doc_id, array_to_string({_places_sql(PLACES)}, '|') AS countries, array_to_string({_places_sql({k: v for k, v in PLACES.items() if v in ('AAA', 'CCC')})}, '|') AS recipients FROM documents")
 def t18_t19_places(t: Tables) -> DataFrame:
     text = F.col("text")
-    return t.documents.select("doc_id", F.array_join(topics.places(text, PLACES, letter="a-z"), "|").alias("countries"), F.array_join(topics.places(text, topics.recipients_only(PLACES, {"AAA", "CCC"}), letter="a-z"), "|").alias("recipients"))
+    return t.texts.select("doc_id", F.array_join(topics.places(text, PLACES, letter="a-z"), "|").alias("countries"), F.array_join(topics.places(text, topics.recipients_only(PLACES, {"AAA", "CCC"}), letter="a-z"), "|").alias("recipients"))
 
 
 @q("SELECT o_orderkey, n_name AS iso3 FROM orders LEFT JOIN nation ON o_custkey % 30 = n_nationkey")
 def t20_name_lookup(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", (F.col("o_custkey") % 30).alias("k")).join(F.broadcast(t.nation.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("iso3"))), "k", "left").drop("k")
+    codes = {str(r.n_nationkey): r.n_name for r in t.nation.collect()}
+    return t.orders.select("o_orderkey", topics.code_of((F.col("o_custkey") % 30).cast("string"), codes).alias("iso3"))
 
 
 @q("SELECT n_regionkey AS code, string_agg(n_name, '|' ORDER BY n_name) AS names FROM nation GROUP BY 1")
 def t21_reverse_index(t: Tables) -> DataFrame:
-    return t.nation.groupBy(F.col("n_regionkey").alias("code")).agg(F.array_join(F.array_sort(F.collect_list("n_name")), "|").alias("names"))
+    codes = {r.n_name: str(r.n_regionkey) for r in t.nation.orderBy("n_name").collect()}
+    return t.region.select(F.col("r_regionkey").alias("code"), F.array_join(topics.names_of_code(F.col("r_regionkey").cast("string"), codes), "|").alias("names"))
 
 
 _SIGNALS = f"""g AS (SELECT doc_id, regexp_matches(text, '(?i)(?:des les|erea)') AS actor, {_count_sql('text', LEXICON[1] + LEXICON[3])} AS hits, len({_places_sql({k: v for k, v in PLACES.items() if v in ('AAA', 'CCC')})}) > 0 AS recipient, len({_places_sql(PLACES)}) > 0 AS place,
  regexp_matches(text, 'ouaux|schver') AS vocabulary, regexp_matches(text, 'edth|cionde') AS shared FROM documents), h AS (SELECT *, actor OR (hits >= 1 AND recipient) OR vocabulary OR (shared AND place) AS candidate FROM g), st AS (SELECT *, CASE WHEN candidate THEN 'candidate' WHEN place THEN 'borderline' ELSE 'negative' END AS stratum FROM h)"""
 
 
-def _signals(t: Tables) -> DataFrame:
+def _signals(t: Tables, *more: str) -> DataFrame:
+    """The rules' signals of each document, with more of its columns."""
     text = F.col("text")
-    df = t.documents.select(
-        "doc_id", topics.holds(text, ["des les", "erea"], any_case=True).alias("actor"), topics.occurrences(text, LEXICON[1] + LEXICON[3]).alias("hits"), (F.size(topics.places(text, topics.recipients_only(PLACES, {"AAA", "CCC"}), letter="a-z")) > 0).alias("recipient"),
+    df = t.texts.select(
+        "doc_id", *more, topics.holds(text, ["des les", "erea"], any_case=True).alias("actor"), topics.occurrences(text, LEXICON[1] + LEXICON[3]).alias("hits"), (F.size(topics.places(text, topics.recipients_only(PLACES, {"AAA", "CCC"}), letter="a-z")) > 0).alias("recipient"),
         (F.size(topics.places(text, PLACES, letter="a-z")) > 0).alias("place"), topics.holds(text, ["ouaux", "schver"]).alias("vocabulary"), topics.holds(text, ["edth", "cionde"]).alias("shared"),
     )
     df = df.withColumn("candidate", topics.candidate(F.col("actor"), F.col("hits"), F.col("recipient"), F.col("vocabulary"), F.col("shared") & F.col("place")))
@@ -378,6 +401,14 @@ def t29_t30_sentiment_fold(t: Tables) -> DataFrame:
     return t.events.select("event_id", scoring.fold_probabilities(F.array(p("POS", 7), p("label_1", 5), p("Negative", 3))).alias("s")).select("event_id", "s.*")
 
 
+_LABELS = {"positive": ("positive", "pos", "긍정", "호의적", "LABEL_2", " Pos "), "negative": ("negative", "neg", "부정", "비판적", "label_0", "NEG"), "neutral": ("neutral", "neu", "중립", "mixed", "label_1", "unheard of", "")}
+
+
+@q("v(label, sentiment) AS (VALUES " + ", ".join(f"('{x}', '{k}')" for k, xs in _LABELS.items() for x in xs) + ") SELECT label, sentiment FROM v")
+def t29_every_label(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame([(x,) for xs in _LABELS.values() for x in xs], "label string").select("label", scoring.sentiment_name(F.col("label")).alias("sentiment"))
+
+
 _ANCHORS = "an AS (SELECT label AS anchor, list(m ORDER BY i) AS av FROM (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) r(i) GROUP BY label, i) GROUP BY label), sc AS (SELECT vec_id, anchor, list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), av) AS score FROM embeddings, an)"
 
 
@@ -405,7 +436,7 @@ def t35_t38_label_decisions(t: Tables) -> DataFrame:
 
 @q(f"{_SIGNALS} SELECT doc_id, CASE WHEN candidate THEN 'model' ELSE 'keyword' END AS method, (CASE WHEN candidate THEN length(text) % 18 ELSE 0 END)::INTEGER AS sdg_label FROM st JOIN documents USING (doc_id)")
 def t39_t40_cascade(t: Tables) -> DataFrame:
-    rows = _signals(t).join(t.documents.select("doc_id", "text"), "doc_id")
+    rows = _signals(t, "text")
     model = lambda df: scoring.with_model(df, "text", "sdg_label", "int", lambda: lambda texts: [len(x) % 18 for x in texts]).withColumn("method", F.lit("model"))
     return scoring.cascade(rows, "doc_id", F.col("candidate"), {"method": F.lit("keyword"), "sdg_label": F.lit(0)}, model).select("doc_id", "method", "sdg_label")
 
@@ -556,7 +587,7 @@ def a13_value_counts(t: Tables) -> DataFrame:
 
 @q(f"{_SIGNALS} SELECT stratum, source, count(*) AS n FROM st JOIN documents USING (doc_id) GROUP BY ALL")
 def a14_stratum_counts(t: Tables) -> DataFrame:
-    return _signals(t).join(t.documents.select("doc_id", "source"), "doc_id").groupBy("stratum", "source").agg(F.count("*").alias("n"))
+    return _signals(t, "source").groupBy("stratum", "source").agg(F.count("*").alias("n"))
 
 
 @q(f"{PROJECTS} SELECT count(DISTINCT year) AS years, count(DISTINCT country) AS countries, count(DISTINCT sdg) AS topics FROM projects")
@@ -676,22 +707,22 @@ _ORDER = "(doc_id * 7919 + 42) % 100003, doc_id"
 qt AS (SELECT least(150, c) AS c, least(90, b) AS b, least(60 + greatest(150 - c, 0) + greatest(90 - b, 0), n) AS n FROM av),
 rk AS (SELECT doc_id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY {_ORDER}) AS r FROM st) SELECT doc_id, stratum FROM rk, qt WHERE r <= CASE stratum WHEN 'candidate' THEN c WHEN 'borderline' THEN b ELSE n END""")
 def o06_stratified_draw(t: Tables) -> DataFrame:
-    return sampling.stratified(_signals(t).select("doc_id", "stratum"), "stratum", "doc_id", 300, {"candidate": 0.5, "borderline": 0.3, "negative": 0.2})
+    return sampling.stratified(_signals(t).select("doc_id", "stratum"), "stratum", "doc_id", 300, {"candidate": 0.5, "borderline": 0.3, "negative": 0.2}, arithmetic=True)
 
 
 @q(f"{ART}, rk AS (SELECT id, year, label, row_number() OVER (PARTITION BY year, label ORDER BY (id * 7919 + 42) % 100003, id) AS r FROM art), dr AS (SELECT id, year, label FROM rk WHERE r <= CASE label WHEN 'O' THEN 10 WHEN 'F' THEN 6 ELSE 4 END) SELECT * FROM dr ORDER BY (id * 7919 + 42) % 100003, id LIMIT 140")
 def o07_year_sample(t: Tables) -> DataFrame:
-    return sampling.by_year(t.art().select("id", "year", "label"), "year", "label", "id", 140, {"O": 0.5, "F": 0.3, "P": 0.2}, 7)
+    return sampling.by_year(t.art().select("id", "year", "label"), "year", "label", "id", 140, {"O": 0.5, "F": 0.3, "P": 0.2}, 7, arithmetic=True)
 
 
 @q(f"SELECT doc_id, (ntile(2) OVER (ORDER BY {_ORDER}) - 1)::INTEGER AS half FROM labels")
 def o08_o09_halves(t: Tables) -> DataFrame:
-    return sampling.halves(t.labels.select("doc_id"), "doc_id")
+    return sampling.halves(t.labels.select("doc_id"), "doc_id", arithmetic=True)
 
 
 @q(f"SELECT doc_id, toxic, ((row_number() OVER (PARTITION BY toxic ORDER BY {_ORDER}) - 1) % 5)::INTEGER AS fold FROM labels")
 def o10_folds(t: Tables) -> DataFrame:
-    return sampling.folds(t.labels.select("doc_id", "toxic"), "toxic", "doc_id")
+    return sampling.folds(t.labels.select("doc_id", "toxic"), "toxic", "doc_id", arithmetic=True)
 
 
 @q("SELECT source FROM (SELECT source, row_number() OVER (ORDER BY source) - 1 AS r FROM (SELECT DISTINCT source FROM documents)) WHERE r % 3 = 0")
@@ -769,31 +800,62 @@ def _pair(t: Tables) -> DataFrame:
     return x.join(t.projects().where("sdg is not null").groupBy("year", "sdg", "month").agg(F.sum("disbursement").alias("y")), ["year", "sdg", "month"])
 
 
-@q(f"{_PAIR} SELECT year, count(*) AS n, round(corr(x, y), 4) AS r FROM pr GROUP BY year HAVING count(*) >= 4 AND stddev_pop(x) > 0 AND stddev_pop(y) > 0")
+def _p_sql(t: str, df: str) -> str:
+    """The two-sided p of Student's t for whole degrees of freedom: the finite sums in the angle atan(t / sqrt(df))."""
+    angle = f"atan(abs({t}) / sqrt({df}))"
+    even = f"sin({angle}) * list_sum(list_transform(range(0, ({df}) // 2), lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1) - lgamma(0.5)) * pow(cos({angle}), 2 * j)))"
+    odd = f"2 / pi() * ({angle} + sin({angle}) * coalesce(list_sum(list_transform(range(0, ({df} - 1) // 2), lambda j: 0.5 * sqrt(pi()) * exp(lgamma(j + 1) - lgamma(j + 1.5)) * pow(cos({angle}), 2 * j + 1))), 0))"
+    return f"(1 - CASE WHEN ({df}) % 2 = 0 THEN {even} ELSE {odd} END)"
+
+
+_R_TO_T = "r * sqrt((n - 2) / (1 - r * r))"
+
+
+@q(f"{_PAIR}, co AS (SELECT year, count(*) AS n, corr(x, y) AS r FROM pr GROUP BY year HAVING count(*) >= 4 AND stddev_pop(x) > 0 AND stddev_pop(y) > 0), tt AS (SELECT *, {_R_TO_T} AS tv, n - 2 AS df FROM co) SELECT year, n, round(r, 4) AS r, round({_p_sql('tv', 'df')}, 5) AS p FROM tt")
 def m01_pearson(t: Tables) -> DataFrame:
-    return stats.correlations(_pair(t), ["year"], "x", "y").withColumn("r", F.round("r", 4))
+    return stats.correlations(_pair(t), ["year"], "x", "y").withColumns({"r": F.round("r", 4), "p": F.round("p", 5)})
 
 
-@q(f"{_PAIR}, rk AS (SELECT year, rank() OVER (PARTITION BY year ORDER BY x) + (count(*) OVER (PARTITION BY year, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY year ORDER BY y) + (count(*) OVER (PARTITION BY year, y) - 1) / 2.0::DOUBLE AS ry FROM pr) SELECT year, count(*) AS n, round(corr(rx, ry), 4) AS r FROM rk GROUP BY year HAVING count(*) >= 4 AND stddev_pop(rx) > 0 AND stddev_pop(ry) > 0")
+@q(f"{_PAIR}, rk AS (SELECT year, rank() OVER (PARTITION BY year ORDER BY x) + (count(*) OVER (PARTITION BY year, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY year ORDER BY y) + (count(*) OVER (PARTITION BY year, y) - 1) / 2.0::DOUBLE AS ry FROM pr), co AS (SELECT year, count(*) AS n, corr(rx, ry) AS r FROM rk GROUP BY year HAVING count(*) >= 4 AND stddev_pop(rx) > 0 AND stddev_pop(ry) > 0), tt AS (SELECT *, {_R_TO_T} AS tv, n - 2 AS df FROM co) SELECT year, n, round(r, 4) AS r, round({_p_sql('tv', 'df')}, 5) AS p FROM tt")
 def m02_spearman(t: Tables) -> DataFrame:
-    return stats.spearman(_pair(t), ["year"], "x", "y").withColumn("r", F.round("r", 4))
+    return stats.spearman(_pair(t), ["year"], "x", "y").withColumns({"r": F.round("r", 4), "p": F.round("p", 5)})
+
+
+_PANEL = f"{ART}, bl AS (SELECT sdg, year, avg(score) AS x, count(*)::DOUBLE AS y FROM art WHERE year < 2001 GROUP BY ALL)"
 
 
-_BAL = f"{ART}, bl AS (SELECT sdg, year, avg(score) AS x, count(*)::DOUBLE AS y FROM art WHERE year < 2001 GROUP BY ALL), dm AS (SELECT x - avg(x) OVER (PARTITION BY sdg) - avg(x) OVER (PARTITION BY year) + avg(x) OVER () AS x, y - avg(y) OVER (PARTITION BY sdg) - avg(y) OVER (PARTITION BY year) + avg(y) OVER () AS y FROM bl)"
+def _two_way_sql(x: str) -> str:
+    """The fit of y on x with both effects, of the balanced panel where x isn't null."""
+    return f"""(WITH pa AS (SELECT sdg, year, {x} AS x, y FROM mv WHERE {x} IS NOT NULL),
+    dm AS (SELECT x - avg(x) OVER (PARTITION BY sdg) - avg(x) OVER (PARTITION BY year) + avg(x) OVER () AS dx, y - avg(y) OVER (PARTITION BY sdg) - avg(y) OVER (PARTITION BY year) + avg(y) OVER () AS dy, y - avg(y) OVER () AS cy, sdg, year FROM pa),
+    b AS (SELECT sum(dx * dy) / sum(dx * dx) AS coef FROM dm),
+    s AS (SELECT any_value(coef) AS coef, sum(dx * dx * (dy - coef * dx) ** 2) AS xe, sum(dx * dx) AS xx, sum((dy - coef * dx) ** 2) AS ee, sum(cy * cy) AS yy, count(*) AS n, count(DISTINCT sdg) + count(DISTINCT year) AS k FROM dm, b),
+    f AS (SELECT coef, sqrt(xe * n / (n - k)) / xx AS se, n, n - k AS df, 1 - ee / yy AS r2 FROM s) SELECT coef, se, coef / se AS tv, n, df, r2 FROM f WHERE n >= 10)"""
 
 
-@q(f"{_BAL} SELECT round(regr_slope(y, x), 3) AS coef, count(*) AS n FROM dm")
+_FIT = f"round(coef, 2) AS coef, round(se, 2) AS se, round(tv, 3) AS t_stat, round({_p_sql('tv', 'df')}, 4) AS p_val, n, df AS df_r, round(r2, 4) AS r2"
+
+
+def _panel(t: Tables) -> DataFrame:
+    return t.art().where("year < 2001").groupBy("sdg", "year").agg(F.avg("score").alias("x"), F.count("*").cast("double").alias("y"))
+
+
+def _rounded(fit: DataFrame) -> DataFrame:
+    return fit.withColumns({c: F.round(c, d) for c, d in (("coef", 2), ("se", 2), ("t_stat", 3), ("p_val", 4), ("r2", 4))})
+
+
+@q(f"{_PANEL}, mv AS (SELECT * FROM bl) SELECT {_FIT} FROM {_two_way_sql('x')}")
 def m03_fixed_effects(t: Tables) -> DataFrame:
-    bl = t.art().where("year < 2001").groupBy("sdg", "year").agg(F.avg("score").alias("x"), F.count("*").cast("double").alias("y"))
-    d = stats.within(bl, "sdg", "year", "x", "y")
-    return d.agg(F.round(F.regr_slope("dm_y", "dm_x"), 3).alias("coef"), F.count("*").alias("n"))
+    return _rounded(stats.two_way(_panel(t), "sdg", "year", "x", "y"))
 
 
-@q()
+_MOVES = [("contemporaneous", 0, "x"), *((d, k, f"{d}_{k}") for d in ("lag", "lead") for k in (1, 2))]
+_MOVED = ", ".join(f"{d}(x, {k}) OVER (PARTITION BY sdg ORDER BY year) AS {d}_{k}" for d in ("lag", "lead") for k in (1, 2))
+
+
+@q(f"{_PANEL}, mv AS (SELECT *, {_MOVED} FROM bl), al AS (" + " UNION ALL ".join(f"SELECT 'clean' AS panel, '{d}' AS direction, {k} AS k, * FROM {_two_way_sql(c)}" for d, k, c in _MOVES) + f"), pv AS (SELECT *, {_p_sql('tv', 'df')} AS pv FROM al) SELECT panel, direction, k, {_FIT}, CASE WHEN pv < 0.01 THEN '***' WHEN pv < 0.05 THEN '**' WHEN pv < 0.1 THEN '*' ELSE '' END AS stars FROM pv")
 def m04_placebo(t: Tables) -> DataFrame:
-    bl = t.art().where("year < 2001").groupBy("sdg", "year").agg(F.avg("score").alias("x"), F.count("*").cast("double").alias("y"))
-    rows = stats.placebo({"clean": bl}, "sdg", "year", "x", "y", (1, 2))
-    return t.spark.createDataFrame(rows, "panel string, direction string, k int, coef double, se double, t_stat double, p_val double, n int, df_r int, r2 double, stars string")
+    return _rounded(stats.placebo({"clean": _panel(t)}, "sdg", "year", "x", "y", (1, 2)))
 
 
 @q(f"{_PAIR} SELECT count(*) AS n, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept, round(regr_r2(y, x), 6) AS r_squared, (regr_r2(y, x) > 0.9 AND abs(regr_slope(y, x) - 1) < 0.05) AS passes FROM pr")
@@ -860,20 +922,23 @@ def m19_krippendorff(t: Tables) -> DataFrame:
     return stats.krippendorff(v, "doc_id", "v")
 
 
-def _classifier(t: Tables) -> tuple[DataFrame, object]:
+def _labelled(t: Tables, *more: str) -> DataFrame:
+    """Labelled texts with the rules' features."""
     from lodeframe.operators import ml
 
-    rows = t.labels.join(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", F.substring("text", 1, 500).alias("text"), F.col("quality").cast("double").alias("label"))
-    return ml.class_weights(rows.withColumn("grams", ml.word_grams(F.col("text"))), "label"), ml.text_classifier(vocabulary=3000, reg=0.01)
+    signals = _signals(t, "text").withColumn("labels", F.size(F.filter(topics.occurrence_counts(F.col("text"), LEXICON), lambda x: x > 0)))
+    rules = ml.rule_features(F.col("hits"), F.col("actor"), F.col("labels"), F.col("vocabulary"), F.col("shared"), F.col("place"))
+    return signals.select("doc_id", "text", "candidate", "stratum", *(c.alias(k) for k, c in rules.items())).join(t.labels.select("doc_id", F.col("quality").alias("label")), "doc_id", "left")
 
 
 @q()
 def m10_m12_text_classifier(t: Tables) -> DataFrame:
+    """Character n-grams of 500 characters, 50,000 of them, log tf; scored on rows that weren't fitted."""
     from lodeframe.operators import ml
 
-    rows, pipeline = _classifier(t)
-    train = rows.where("doc_id % 5 <> 0")
-    return ml.score(pipeline.fit(train), rows.where("doc_id % 5 = 0")).select("doc_id", "label", "oda_prob", "oda_relevant")
+    rows = t.labels.join(t.texts.select("doc_id", F.substring("text", 1, 500).alias("text")), "doc_id").select("doc_id", F.col("quality").alias("label"), ml.char_grams(F.col("text")).alias("grams"))
+    model = ml.fit(rows.where("doc_id % 5 <> 0"), grams="grams", sublinear=True)
+    return ml.score(model, rows.where("doc_id % 5 = 0")).select("doc_id", "label", "oda_prob", "oda_relevant")
 
 
 @q("x AS (SELECT date_trunc('day', ts) AS start, event_type, value FROM events) SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM x GROUP BY ALL")
@@ -886,11 +951,19 @@ def x01_windowed_counts(t: Tables) -> DataFrame:
 
 @q()
 def m15_compare_scorers(t: Tables) -> DataFrame:
+    """Three scorers, each fitted out of fold: frame columns, all rules, rules and words."""
     from lodeframe.operators import ml
 
-    rows, pipeline = _classifier(t)
-    rows = rows.withColumn("label", F.col("label").cast("int"))
-    return ml.compare_scorers(rows, {"text": pipeline, "length": F.length("text").cast("double")}, "label", "doc_id", (50,), k=2)
+    rows = written(_labelled(t).where("label is not null").withColumn("grams", ml.word_grams(F.substring("text", 1, 1000))), "scorers")
+    return ml.compare_scorers(rows, ml.three_scorers("grams"), "label", "doc_id", (50, 100), k=3)
+
+
+@q(f"{_SIGNALS}, rc AS (SELECT candidate, CASE WHEN doc_id % 7 = 0 THEN 'negative' ELSE stratum END AS recorded FROM st) SELECT count(*) AS n, round(avg((candidate = (recorded = 'candidate'))::INTEGER), 6) AS agreement FROM rc")
+def m15_stratum_agreement(t: Tables) -> DataFrame:
+    from lodeframe.operators import ml
+
+    recorded = F.when(F.col("doc_id") % 7 == 0, "negative").otherwise(F.col("stratum"))
+    return ml.stratum_agreement(_signals(t).withColumn("recorded", recorded), "candidate", "recorded")
 
 
 @q("SELECT 'documents' AS name, unnest(['doc_id', 'text', 'lang', 'source', 'n_chars']) AS column_name")
@@ -898,21 +971,41 @@ def s14_header_peek(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([("documents", c) for c in t.documents.columns], "name string, column_name string")
 
 
-@q("SELECT doc_id::VARCHAR AS doc_id, lang FROM documents WHERE doc_id < 300")
-def s02_s04_csv_files_by_name(t: Tables) -> DataFrame:
-    from lodeframe.sources.scratch import scratch
+@q("SELECT 'topic' AS member, topic::VARCHAR AS label, n FROM (VALUES (1, 2), (2, 2), (3, 3), (4, 2), (5, 3)) v(topic, n)")
+def t01_lexicon_file(t: Tables) -> DataFrame:
+    """A dictionary file, read and checked, as a table of its sizes."""
+    known = _reference(t)
+    return t.spark.createDataFrame([("topic", str(k), len(v)) for k, v in known.topics.items()], "member string, label string, n int")
+
 
+@q("SELECT doc_id::VARCHAR AS doc_id, lang, 2020 AS year FROM documents WHERE doc_id < 300 AND doc_id % 10 <> 3 UNION ALL SELECT doc_id::VARCHAR, NULL, 2021 FROM documents WHERE doc_id BETWEEN 300 AND 399")
+def s02_s04_csv_files_by_name(t: Tables) -> DataFrame:
+    """Year folders, one with rows of too many fields, one without a column, and one that was derived."""
     path = scratch(t.spark, "files")
-    rows = t.documents.where("doc_id < 300").select(F.col("doc_id").cast("string").alias("doc_id"), "lang")
-    files.write_csv(rows, f"{path}/2020")
-    files.write_csv(rows.limit(5), f"{path}/2021_derived")
-    return files.read_csv(t.spark, f"{path}/2020", ["doc_id", "lang"], skip_bad=True, glob="part-*.csv")
+    raw = lambda rows, to: rows.write.option("header", True).option("quote", "\u0000").csv(f"{path}/{to}")
+    rows = t.documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.when(F.col("doc_id") % 10 == 3, F.concat("lang", F.lit(",too many"))).otherwise(F.col("lang")).alias("lang"))
+    raw(rows.where("doc_id < 300"), "2020")
+    raw(rows.where("doc_id between 300 and 399").select("doc_id"), "2021")
+    raw(rows.limit(5), "2020_oda")
+    out = None
+    for year, found in by_year.article_files(t.spark, path, [2020, 2021]).items():
+        one = by_year.read_files(t.spark, found, ["doc_id", "lang"]).withColumn("year", F.lit(year))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out.select("doc_id", "lang", "year")
+
+
+@q("SELECT doc_id, lang, (doc_id % 3)::VARCHAR AS part FROM documents")
+def s13_parts(t: Tables) -> DataFrame:
+    """Three parts, one written before: the run skips it, and all are merged."""
+    path = scratch(t.spark, "parts")
+    make = {str(k): (lambda k=k: t.documents.where(F.col("doc_id") % 3 == k).select("doc_id", "lang")) for k in range(3)}
+    by_year.process_parts(t.spark, path, {"1": make["1"]})
+    ran = by_year.process_parts(t.spark, path, make)
+    return by_year.merge_parts(t.spark, path).where(F.lit(ran == {"0": True, "1": False, "2": True}))
 
 
 @q("SELECT event_id, event_type, (ts::DATE)::VARCHAR AS day FROM events WHERE event_id < 400")
 def s05_json_day_files(t: Tables) -> DataFrame:
-    from lodeframe.sources.scratch import scratch
-
     path = scratch(t.spark, "days")
     rows = t.events.where("event_id < 400").select("event_id", "event_type", F.col("ts").cast("date").cast("string").alias("day"))
     rows.groupBy("day").agg(F.to_json(F.collect_list(F.struct("event_id", "event_type", "day"))).alias("value")).select("value", "day").write.partitionBy("day").text(path)
@@ -935,9 +1028,10 @@ def j10_hand_and_model_cells(t: Tables) -> DataFrame:
 
 @q()
 def m13_score_corpus(t: Tables) -> DataFrame:
+    """Rules and words of whole texts: fitted on the labelled rows, scored on all that aren't negative."""
     from lodeframe.operators import ml
 
-    rows, pipeline = _classifier(t)
-    corpus = _signals(t).select("doc_id", "stratum").join(t.documents.select("doc_id", F.substring("text", 1, 500).alias("text")), "doc_id")
-    scored = ml.score_corpus(pipeline.fit(rows), corpus.withColumn("grams", ml.word_grams(F.col("text"))), "stratum")
-    return scored.select("doc_id", "stratum", "precision_prob", "precision_relevant")
+    rows = _labelled(t)
+    grams = ml.word_grams(F.col("text"))
+    model = ml.fit(rows.where("label is not null").withColumn("grams", grams), grams="grams", extra=ml.RULE_FEATURES, vocabulary=3000)
+    return ml.score_corpus(model, rows.drop("label").withColumn("grams", grams), "stratum").select("doc_id", "stratum", "precision_prob", "precision_relevant")

@@ -1,9 +1,13 @@
 """Scalar and text functions, with the cases that are easily got wrong."""
 
+import math
+import random
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from lodeframe.functions import scalar, topics
-from lodeframe.operators import measures, sampling, scoring, stats
+from lodeframe.operators import measures, ml, order, sampling, scoring, stats
 
 LEX = {1: ["빈곤", "빈곤율"], 2: ["학교"], 3: ["ODA"]}
 
@@ -134,3 +138,109 @@ def test_label_decisions(spark):
     assert one(spark, scoring.multi_label(s)) == [2, 3, 1]
     assert one(spark, scoring.second_label(s, F.lit(2))) == 3
     assert one(spark, scoring.single_label(s, 0.6))["label"] == 0
+
+
+def test_every_sentiment_label(spark):
+    for label, name in [("호의적", "positive"), ("비판적", "negative"), ("mixed", "neutral"), ("neu", "neutral"), ("POS", "positive"), ("?", "neutral")]:
+        assert one(spark, scoring.sentiment_name(F.lit(label))) == name
+
+
+def test_found_terms_are_all_substrings(spark):
+    """One scan finds what one search for each term finds, terms that begin others and metacharacters too."""
+    rng = random.Random(1)
+    for _ in range(30):
+        terms = ["".join(rng.choice("ab.c") for _ in range(rng.randrange(1, 5))) for _ in range(8)]
+        text = "".join(rng.choice("ab.c ") for _ in range(40))
+        assert sorted(one(spark, topics.found_terms(F.lit(text), terms))) == sorted({t for t in terms if t in text})
+    assert one(spark, topics.found_terms(F.lit("x"), [])) == []
+    assert sorted(one(spark, topics.found_terms(F.lit("xab ab"), ["ab", "a"], "(?<![a-z])"))) == ["a", "ab"]
+
+
+def test_names_and_codes(spark):
+    codes = {"이란": "IRN", "페르시아": "IRN", "베트남": "VNM"}
+    assert one(spark, topics.code_of(F.lit("베트남"), codes)) == "VNM" and one(spark, topics.code_of(F.lit("x"), codes)) is None
+    assert one(spark, topics.names_of_code(F.lit("IRN"), codes)) == ["이란", "페르시아"] and one(spark, topics.names_of_code(F.lit("x"), codes)) == []
+    assert one(spark, topics.places(F.lit("건강이란 무엇인가, 베트남과 이란"), codes)) == ["IRN", "VNM"]
+    assert one(spark, topics.places(F.lit("x"), {})) == []
+
+
+def test_tags_with_zeros_and_long_numbers(spark):
+    assert [one(spark, scalar.goal_tag(F.lit(x))) for x in ("016", " 3.", "170", "1 7", "99999999999", "")] == [16, 3, None, 1, None, None]
+
+
+def test_hash_orders_take_any_id(spark):
+    rows = spark.createDataFrame([(f"id{k}", "a" if k % 3 else "b") for k in range(200)], "k string, s string")
+    drawn = sampling.stratified(rows, "s", "k", 50, {"a": 0.8, "b": 0.2}, spill_to="b")
+    assert dict(drawn.groupBy("s").count().collect()) == {"a": 40, "b": 10}
+    assert drawn.select("k").orderBy("k").collect() == sampling.stratified(rows.repartition(3), "s", "k", 50, {"a": 0.8, "b": 0.2}, spill_to="b").select("k").orderBy("k").collect()
+    big = spark.createDataFrame([(4 * 10**15 + k,) for k in range(9)], "k long")
+    assert sampling.halves(big, "k", arithmetic=True).where("half = 0").count() == 5 == sampling.halves(big, "k").where("half = 0").count()
+
+
+def test_running_totals_over_ranges(spark):
+    rng = random.Random(2)
+    values = [rng.randrange(10**6) for _ in range(500)]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k long, v long")
+    out = {r.k: r for r in order.cumulated(df, [F.desc("v"), "k"], {"n": F.lit(1), "t": F.col("v")}, parts=7).collect()}
+    total = 0
+    for n, k in enumerate(sorted(out, key=lambda k: (-values[k], k)), 1):
+        total += values[k]
+        assert (out[k].n, out[k].t) == (n, total)
+    assert sorted(r.v for r in sampling.every(df.select("v").distinct(), "v", 50).collect()) == sorted(set(values))[::50]
+    assert order.numbered(df.limit(0), ["v"]).count() == 0
+
+
+def test_fits_of_balanced_and_other_panels_agree(spark):
+    rng = random.Random(3)
+    rows = [(u, t, rng.random(), rng.random()) for u in range(6) for t in range(7)]
+    for some in (rows, rows[:-3]):
+        want = stats.fixed_effects(some)
+        got = stats.two_way(spark.createDataFrame(some, "u int, t int, x double, y double"), "u", "t", "x", "y").first().asDict()
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert stats.two_way(spark.createDataFrame(rows[:8], "u int, t int, x double, y double"), "u", "t", "x", "y").count() == 0
+
+
+def test_character_grams_are_those_of_words_with_blanks(spark):
+    def plain(text):
+        out = []
+        for w in text.lower().split():
+            w = f" {w} "
+            for n in range(2, 5):
+                out += [w[i : i + n] for i in range(max(len(w) - n + 1, 1))]
+                if len(w) <= n:
+                    break
+        return out
+
+    for text in ("a", "ab cd", "Ünder  the\nbig tree", ""):
+        assert sorted(one(spark, ml.char_grams(F.lit(text)))) == sorted(plain(text))
+    assert one(spark, ml.word_grams(F.lit("The a big tree"), 3)) == ["the", "big", "tree", "the big", "big tree", "the big tree"]
+
+
+def test_weights_and_scores_of_a_text_model(spark):
+    """Log counts, idf + 1, unit length, extra features and the logistic function, in plain arithmetic."""
+    rng = random.Random(4)
+    rows = [(k, " ".join(rng.choice(["aa", "bb", "cc", "dd"][k % 2 :]) for _ in range(rng.randrange(1, 9))), float(k % 3), k % 2) for k in range(60)]
+    df = spark.createDataFrame(rows, "k int, text string, f double, label int").withColumn("g", ml.word_grams(F.col("text"), 1))
+    m = ml.fit(df, grams="g", extra=["f"], sublinear=True)
+    vocabulary = m.counts.vocabulary
+    for t, idf in zip(vocabulary, m.idf, strict=True):
+        assert abs(idf - (math.log(61 / (1 + sum(t in r[1].split() for r in rows))) + 1)) < 1e-9
+    for r in ml.score(m, df, digits=9).collect():
+        w = {t: (1 + math.log(n)) * m.idf[vocabulary.index(t)] for t, n in Counter(r.text.split()).items()}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        z = m.intercept + m.coef[0] * r.f + sum(x / norm * m.coef[1 + vocabulary.index(t)] for t, x in w.items())
+        assert abs(r.oda_prob - 1 / (1 + math.exp(-z))) < 1e-8
+    # What is minimised: the balanced loss, with a penalty of inverse strength 1.
+    def loss(coef, intercept):
+        total = sum(x * x for x in coef) / 2
+        for r in df.collect():
+            w = {t: (1 + math.log(n)) * m.idf[vocabulary.index(t)] for t, n in Counter(r.text.split()).items()}
+            norm = math.sqrt(sum(x * x for x in w.values()))
+            z = intercept + coef[0] * r.f + sum(x / norm * coef[1 + vocabulary.index(t)] for t, x in w.items())
+            total += math.log1p(math.exp(-z if r.label else z))
+        return total
+
+    best = loss(m.coef, m.intercept)
+    for i in range(len(m.coef)):
+        for step in (-0.05, 0.05):
+            assert loss([c + step * (j == i) for j, c in enumerate(m.coef)], m.intercept) > best - 1e-4

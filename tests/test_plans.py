@@ -49,3 +49,32 @@ def test_rolling_never_sorts_everything_in_one_task(spark, sf):
     single = [line for line in p.splitlines() if "Exchange SinglePartition" in line]
     assert len(single) <= 1  # the numbering of the distinct months
     assert "CartesianProduct" not in p
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_each_expression_is_evaluated_once(spark, sf):
+    """Regular expressions in the optimised plans: one for each lexicon that is counted or looked for."""
+    t = Tables(spark, sf)
+    assert optimized(t.projects().where("sdg is not null").groupBy("year", "sdg").count()).count("regexp_extract(") <= 4
+    counted = lambda name: [optimized(QUERIES[name](spark, sf)).count(x) for x in ("regexp_extract_all(", "RLIKE", "Relation [doc_id")]
+    assert counted("t07_t14_classify") == [5 + 3 + 2 + 5, 5, 1]  # a count is an extraction in this plan
+    assert counted("t15_t17_distinct_terms") == [1, 0, 1]
+    assert counted("t18_t19_places") == [4, 0, 1]
+    assert counted("o06_stratified_draw") == [0, 0, 1]  # it reads what was written once
+    assert counted("t39_t40_cascade")[:2] == [5, 3]
+
+
+def test_no_window_takes_all_rows(spark, sf):
+    for name in ("o08_o09_halves", "o11_every", "m03_fixed_effects", "m08_binary_metrics", "m09_ranking_metrics"):
+        text = plan(QUERIES[name](spark, sf))
+        for line in text.splitlines():
+            # Windows of one partition only see the totals of ranges, or the highest scores.
+            assert not ("Window [" in line and "windowspecdefinition(" in line and "__part" not in line and "specifiedwindowframe(RowFrame" in line and "s#" not in line and "partition" in line)
+
+
+def test_small_tables_are_spread(spark, sf):
+    t = Tables(spark, sf)
+    assert t.texts.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
