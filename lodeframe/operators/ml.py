@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeframe.operators.sampling import folds
+from lodeframe.operators.scoring import fold_probabilities
 from lodeframe.sources.scratch import written
 
 
@@ -134,6 +135,19 @@ def score(model: TextModel, df: DataFrame, name: str = "oda", threshold: float =
     return out.withColumn(f"{name}_relevant", (F.col(f"{name}_prob") >= threshold).cast("int"))
 
 
+def sentiment(model: TextModel, df: DataFrame) -> DataFrame:
+    """df with sentiment_label, sentiment_score and sentiment_continuous of a model that was fitted on positive (1) and negative (0) texts.
+
+    Stands in for a pre-trained model's batches (scoring.with_model takes any other): the
+    class probabilities are folded in the same way.
+    """
+    p = F.col("__p")
+    either = lambda name, x: F.struct(F.lit(name).alias("label"), x.alias("score"))
+    folded = fold_probabilities(F.array(either("positive", p), either("negative", 1 - p)))
+    out = model.probability(df, "__p").withColumn("__s", folded)
+    return out.select(*df.columns, *(F.col(f"__s.{x}").alias(f"sentiment_{x}") for x in ("label", "score", "continuous")))
+
+
 def cross_validate(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42, **options) -> DataFrame:
     """Each row scored by a model that was fitted without its fold: no label is seen twice."""
     parts = folds(df, label, key, k, seed)
@@ -184,4 +198,4 @@ def stratum_agreement(df: DataFrame, candidate: str, stratum: str) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.round(F.avg((F.coalesce(F.col(candidate), F.lit(False)) == (F.col(stratum) == "candidate")).cast("double")), 6).alias("agreement"))
 
 
-__all__ = ["FRAME_FEATURES", "RULE_FEATURES", "TextModel", "char_grams", "class_weights", "compare_scorers", "cross_validate", "fit", "rule_features", "score", "score_corpus", "stratum_agreement", "three_scorers", "word_grams"]
+__all__ = ["FRAME_FEATURES", "RULE_FEATURES", "TextModel", "char_grams", "class_weights", "compare_scorers", "cross_validate", "fit", "rule_features", "score", "score_corpus", "sentiment", "stratum_agreement", "three_scorers", "word_grams"]

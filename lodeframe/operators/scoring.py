@@ -108,12 +108,14 @@ def with_model(df: DataFrame, text: str, name: str, returns: str, factory: Calla
     return df.withColumn(name, score(F.col(text)))
 
 
-def cascade(df: DataFrame, key: str, candidate: Column, defaults: dict[str, Column], scored: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Defaults for all rows, replaced where scored(candidates) has a value.
+def cascade(df: DataFrame, candidate: Column, defaults: dict[str, Column], scored: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Defaults for rows that aren't candidates; for candidates what scored() adds to them, or the defaults where that is null.
 
-    Candidates are filtered before the model sees them, and joined back: a model inside a
-    conditional expression would run on every row.
+    Candidates are filtered before the model sees them (a model inside a conditional
+    expression would run on every row), and the others are put beside them: no join, no
+    shuffle. scored keeps all rows and columns.
     """
-    found = scored(df.where(candidate)).select(key, *(F.col(c).alias(f"__{c}") for c in defaults))
-    out = df.withColumns(defaults).join(found, key, "left")
-    return out.withColumns({c: F.coalesce(F.col(f"__{c}"), F.col(c)) for c in defaults}).drop(*(f"__{c}" for c in defaults))
+    chosen = F.coalesce(candidate, F.lit(False))
+    kept = [c for c in df.columns if c not in defaults]
+    found = scored(df.where(chosen)).select(*kept, *(F.coalesce(F.col(c), d).alias(c) for c, d in defaults.items()))
+    return found.unionByName(df.where(~chosen).select(*kept, *(d.alias(c) for c, d in defaults.items())))

@@ -438,7 +438,7 @@ def t35_t38_label_decisions(t: Tables) -> DataFrame:
 def t39_t40_cascade(t: Tables) -> DataFrame:
     rows = _signals(t, "text")
     model = lambda df: scoring.with_model(df, "text", "sdg_label", "int", lambda: lambda texts: [len(x) % 18 for x in texts]).withColumn("method", F.lit("model"))
-    return scoring.cascade(rows, "doc_id", F.col("candidate"), {"method": F.lit("keyword"), "sdg_label": F.lit(0)}, model).select("doc_id", "method", "sdg_label")
+    return scoring.cascade(rows, F.col("candidate"), {"method": F.lit("keyword"), "sdg_label": F.lit(0)}, model).select("doc_id", "method", "sdg_label")
 
 
 # --- J: joins ----------------------------------------------------------------------------------
@@ -941,6 +941,16 @@ def m10_m12_text_classifier(t: Tables) -> DataFrame:
     return ml.score(model, rows.where("doc_id % 5 = 0")).select("doc_id", "label", "oda_prob", "oda_relevant")
 
 
+@q()
+def t31_sentiment_batch(t: Tables) -> DataFrame:
+    """Sentiment of every document by a model that is trained here, on 300 characters of the labelled ones."""
+    from lodeframe.operators import ml
+
+    texts = t.texts.select("doc_id", ml.word_grams(F.substring("text", 1, 300), 1).alias("grams"))
+    model = ml.fit(texts.join(t.labels.select("doc_id", F.col("quality").alias("label")), "doc_id"), grams="grams", vocabulary=2000)
+    return ml.sentiment(model, texts).drop("grams")
+
+
 @q("x AS (SELECT date_trunc('day', ts) AS start, event_type, value FROM events) SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM x GROUP BY ALL")
 def x01_windowed_counts(t: Tables) -> DataFrame:
     from lodeframe.streaming.ingest import windowed_counts

@@ -230,6 +230,9 @@ def test_weights_and_scores_of_a_text_model(spark):
         norm = math.sqrt(sum(x * x for x in w.values()))
         z = m.intercept + m.coef[0] * r.f + sum(x / norm * m.coef[1 + vocabulary.index(t)] for t, x in w.items())
         assert abs(r.oda_prob - 1 / (1 + math.exp(-z))) < 1e-8
+    for r in ml.sentiment(m, ml.score(m, df, digits=9)).collect():
+        assert r.sentiment_label == ("positive" if r.oda_prob >= 0.5 else "negative")
+        assert abs(r.sentiment_score - max(r.oda_prob, 1 - r.oda_prob)) < 1e-4 and abs(r.sentiment_continuous - (2 * r.oda_prob - 1)) < 1e-4
     # What is minimised: the balanced loss, with a penalty of inverse strength 1.
     def loss(coef, intercept):
         total = sum(x * x for x in coef) / 2
