@@ -124,7 +124,7 @@ def fit(df: DataFrame, label: str = "label", grams: str | None = None, extra: Se
     total = df.agg(F.sum("weight")).first()[0]
     # An iteration is a job: rows that fit one task aren't spread over many.
     features = features.coalesce(1 + int(total) // 20_000)
-    fitted = LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight", regParam=1 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=1000).fit(features)
+    fitted = LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight", regParam=1 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-5).fit(features)
     model.coef, model.intercept = fitted.coefficients.toArray().tolist(), float(fitted.intercept)
     return model
 

@@ -108,6 +108,13 @@ def with_model(df: DataFrame, text: str, name: str, returns: str, factory: Calla
     return df.withColumn(name, score(F.col(text)))
 
 
+def embed_and_score(df: DataFrame, key: str, text: str, anchors: dict[int, str], factory: Callable[[], Model], batch: int = 128) -> DataFrame:
+    """key, anchor, score: the cosine of each text's embedding with those of the anchors' texts, all by the same model."""
+    given = df.sparkSession.createDataFrame(list(anchors.items()), "anchor int, text string")
+    vectors = with_model(given, "text", "anchor_vector", "array<double>", factory, batch).select("anchor", "anchor_vector")
+    return anchor_scores(with_model(df.select(key, text), text, "embedding", "array<double>", factory, batch), vectors, key, "embedding")
+
+
 def cascade(df: DataFrame, candidate: Column, defaults: dict[str, Column], scored: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Defaults for rows that aren't candidates; for candidates what scored() adds to them, or the defaults where that is null.
 

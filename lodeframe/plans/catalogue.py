@@ -16,6 +16,7 @@ from lodeframe.functions import scalar, topics
 from lodeframe.operators import aid, calendar, measures, sampling, scoring, stats
 from lodeframe.plans import panels
 from lodeframe.session import spread
+from lodeframe.shipping import ship
 from lodeframe.sources import articles as files
 from lodeframe.sources import files as by_year
 from lodeframe.sources import lexicons
@@ -120,6 +121,7 @@ PLACES = {"tha": "AAA", "ing": "BBB", "tion": "CCC", "schte": "DDD", "ment": "EE
 def q(sql: str | None = None):
     def add(f: Callable[[Tables], DataFrame]) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
             return f(Tables(spark, sf_dir))
 
         QUERIES[f.__name__] = run
@@ -424,6 +426,24 @@ def t33_t34_anchor_scores(t: Tables) -> DataFrame:
     return _anchor_scores(t).select("vec_id", "anchor", F.round("score", 5).alias("score"), F.round(scoring.fuse(F.col("score"), F.col("vec_id") % 8), 5).alias("fused"))
 
 
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_TOPIC_TEXTS = {1: "the other of these things and that", 2: "der die das und nicht werden", 3: "les deux pour une dans ce jour"}
+
+
+def _letter_counts():
+    """A model in miniature: a text's letters as its embedding."""
+    return lambda texts: [[float(t.count(c)) for c in _LETTERS] for t in texts]
+
+
+_LETTER_SQL = "list_transform([" + ", ".join(f"'{c}'" for c in _LETTERS) + "], lambda c: (length(x) - length(replace(x, c, '')))::DOUBLE)"
+
+
+@q("an(anchor, x) AS (VALUES " + ", ".join(f"({k}, '{v}')" for k, v in _TOPIC_TEXTS.items()) + f"), av AS (SELECT anchor, {_LETTER_SQL} AS v FROM an), dv AS (SELECT doc_id, {_LETTER_SQL} AS v FROM (SELECT doc_id, text AS x FROM documents)) SELECT doc_id, anchor, round(list_cosine_similarity(dv.v, av.v), 5) AS score FROM dv, av WHERE list_sum(dv.v) > 0")
+def t33_embed_and_score(t: Tables) -> DataFrame:
+    """Texts and anchors through the same model adapter, then their cosines."""
+    return scoring.embed_and_score(t.texts, "doc_id", "text", _TOPIC_TEXTS, _letter_counts).where("score is not null").withColumn("score", F.round("score", 5))
+
+
 @q(f"""{_ANCHORS}, rk AS (SELECT vec_id, anchor + 1 AS label, round(score, 4) AS score, row_number() OVER (PARTITION BY vec_id ORDER BY round(score, 4) DESC, anchor) AS r FROM sc)
 SELECT vec_id, (CASE WHEN max(score) >= 0.35 THEN min(label) FILTER (r = 1) ELSE 0 END)::INTEGER AS label, max(score) AS score, coalesce(string_agg(label::VARCHAR, '|' ORDER BY r) FILTER (score >= 0.35), '') AS labels,
  coalesce(min(label) FILTER (r = 2 AND score >= 0.2), 0)::INTEGER AS second, (CASE WHEN max(score) < 0.35 THEN 0 WHEN max(score) < 0.5 THEN 1 WHEN max(score) < 0.65 THEN 2 ELSE 3 END)::INTEGER AS intensity FROM rk GROUP BY vec_id""")
