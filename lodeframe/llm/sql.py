@@ -101,12 +101,10 @@ def _warc() -> str:
         piece = f"coalesce({value} || substr(x, length({name}) + 2), '&' || x)"
         return f"(string_split({c}, '&')[1] || array_to_string(list_transform(string_split({c}, '&')[2:], lambda x: {piece}), ''))"
 
-    body = "html"
-    for pattern in warc.DROPPED:
-        body = f"regexp_replace({body}, {quote(pattern)}, ' ', 'g')"
+    body = f"regexp_replace(html, {quote(warc.DROPPED)}, ' ', 'g')"
     body = f"regexp_replace(regexp_replace({body}, {quote(warc.BREAKS)}, chr(10), 'g'), {quote(warc.TAGS)}, '', 'g')"
     body = f"regexp_replace({replaced(body)}, '{warc.BLANKS}', ' ', 'g')"
-    body = f"regexp_replace(regexp_replace({body}, ' ?\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')"
+    body = f"trim(regexp_replace({body}, ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10))"
     crlf = "chr(13) || chr(10)"
     field = lambda name, value: f"CASE WHEN {value} <> '' THEN '{name}: ' || {value} || {crlf} ELSE '' END"
     uuid = lambda c: f"'<urn:uuid:' || substr(md5({c}), 1, 8) || '-' || substr(md5({c}), 9, 4) || '-' || substr(md5({c}), 13, 4) || '-' || substr(md5({c}), 17, 4) || '-' || substr(md5({c}), 21, 12) || '>'"

@@ -38,10 +38,11 @@ from pyspark.sql import functions as F
 from lodeframe.llm import _shared as S
 
 #: Patterns work in Java's and RE2's dialect alike.
-DROPPED = [r"(?is)<!--.*?-->", r"(?is)<script\b[^>]*>.*?</script\s*>", r"(?is)<style\b[^>]*>.*?</style\s*>", r"(?is)<noscript\b[^>]*>.*?</noscript\s*>", r"(?is)<head\b[^>]*>.*?</head\s*>"]
+#: Comments and elements that aren't seen, whichever begins first.
+DROPPED = r"(?is)<(?:!--.*?--|script\b[^>]*>.*?</script\s*|style\b[^>]*>.*?</style\s*|noscript\b[^>]*>.*?</noscript\s*|head\b[^>]*>.*?</head\s*)>"
 BREAKS = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|option|p|pre|section|table|td|th|tr|ul)\b[^>]*>"
 TAGS = r"(?s)</?[a-zA-Z][^>]*>|<![^>]*>"
-_FREQUENT = ("amp", "quot", "lt", "gt", "nbsp", "apos", "copy", "middot", "mdash", "ndash", "hellip", "rsquo", "lsquo", "ldquo", "rdquo")
+_FREQUENT = ("amp", "quot", "lt", "gt", "nbsp", "copy", "middot")
 #: Characters by name, the frequent ones first: a map is searched from its begin.
 ENTITIES = {n: html5[f"{n};"] for n in dict.fromkeys((*_FREQUENT, *(k[:-1] for k in html5 if k.endswith(";"))))}
 ENTITY = r"^(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);"
@@ -65,7 +66,7 @@ def _character(n: Column) -> Column:
     return F.when(none, F.lit("\ufffd")).when(n < 0x10000, text(utf16(n))).otherwise(text(pair))
 
 
-def _entities(c: Column) -> Column:
+def _any_entities(c: Column) -> Column:
     """c with its character references decoded: what follows each '&' is looked at once."""
     known = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in ENTITIES.items())), F.lit("\x01"), F.lit("\x02"))
     c1 = F.create_map(*(F.lit(x) for kv in C1.items() for x in kv))
@@ -79,17 +80,30 @@ def _entities(c: Column) -> Column:
 
     parts = F.split(c, "&")
     rest = F.transform(F.slice(parts, 2, F.size(parts)), piece)
-    return F.when(F.contains(c, F.lit("&")), F.concat(parts[0], F.array_join(rest, ""))).otherwise(c)
+    return F.concat(parts[0], F.array_join(rest, ""))
+
+
+def _entities(c: Column) -> Column:
+    """c with its character references decoded.
+
+    The frequent ones are replaced one name at a time, &amp; last so that nothing is decoded
+    twice; texts in which another '&' is left go the general way.
+    """
+    plain = c
+    for name in _FREQUENT[1:]:
+        plain = F.replace(plain, F.lit(f"&{name};"), F.lit(ENTITIES[name]))
+    more = F.contains(F.replace(plain, F.lit("&amp;"), F.lit("")), F.lit("&"))
+    return F.when(more, _any_entities(c)).otherwise(F.replace(plain, F.lit("&amp;"), F.lit("&")))
+
+
+def _without_tags(html: Column) -> Column:
+    """A page's text with blocks on lines of their own, references not yet decoded."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(html, DROPPED, " "), BREAKS, "\n"), TAGS, "")
 
 
-def visible_text(html: Column) -> Column:
-    """The text of a page: blocks on lines of their own, blanks collapsed."""
-    c = html
-    for pattern in DROPPED:
-        c = F.regexp_replace(c, pattern, " ")
-    c = F.regexp_replace(F.regexp_replace(c, BREAKS, "\n"), TAGS, "")
-    c = F.regexp_replace(_entities(c), BLANKS, " ")
-    return F.regexp_replace(F.regexp_replace(c, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
+def _tidy(text: Column) -> Column:
+    """Blanks and empty lines collapsed."""
+    return F.btrim(F.regexp_replace(F.regexp_replace(text, BLANKS, " "), r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def uuid_of(text: Column) -> Column:
@@ -118,17 +132,22 @@ def as_responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", id_col: s
 
 def derivatives(responses: DataFrame) -> DataFrame:
     """Metadata and conversion records of response records."""
-    html = F.coalesce(F.col("payload").cast("string"), F.lit(""))
     field = lambda name, value: F.when(value != "", F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))).otherwise("")
-    title = F.trim(F.regexp_replace(_entities(F.regexp_extract(html, TITLE, 1)), "[\\s\u00a0]+", " "))
     value = lambda x: F.regexp_replace(x, QUOTES, "")
-    links = F.array_distinct(F.transform(F.regexp_extract_all(html, F.lit(LINK), F.lit(1)), value))
-    metadata = F.concat(field("title", title), field("language", value(F.regexp_extract(html, LANGUAGE, 1))), F.array_join(F.transform(links, lambda x: F.concat(F.lit("outlink: "), _entities(x), F.lit(" L a/@href\r\n"))), ""))
-    made = F.array(
-        F.struct(F.lit("metadata").alias("type"), F.lit("application/warc-fields").alias("content_type"), metadata.alias("block")),
-        F.struct(F.lit("conversion").alias("type"), F.lit("text/plain; charset=utf-8").alias("content_type"), visible_text(html).alias("block")),
+    kept = responses.where(F.col("record_id").isNotNull()).select("page_id", F.col("record_id").alias("refers_to"), "target_uri", "warc_date", F.col("http_headers").alias("source_headers"), F.col("payload_digest").alias("source_digest"), F.coalesce(F.col("payload").cast("string"), F.lit("")).alias("html"))
+    # Columns of their own, one step after the other, so that what decoding looks at more than once is made once.
+    html, links = F.col("html"), F.col("links")
+    made = kept.select("*", _without_tags(html).alias("text"), F.regexp_extract(html, TITLE, 1).alias("title"), value(F.regexp_extract(html, LANGUAGE, 1)).alias("language"), F.array_distinct(F.transform(F.regexp_extract_all(html, F.lit(LINK), F.lit(1)), value)).alias("links")).drop("html")
+    made = made.withColumns({"text": _entities(F.col("text")), "title": F.trim(F.regexp_replace(_entities(F.col("title")), "[\\s\u00a0]+", " "))})
+    made = made.withColumns({
+        "text": _tidy(F.col("text")),
+        "metadata": F.concat(field("title", F.col("title")), field("language", F.col("language")), F.array_join(F.transform(links, lambda x: F.concat(F.lit("outlink: "), _entities(x), F.lit(" L a/@href\r\n"))), "")),
+    })
+    records = F.array(
+        F.struct(F.lit("metadata").alias("type"), F.lit("application/warc-fields").alias("content_type"), F.col("metadata").alias("block")),
+        F.struct(F.lit("conversion").alias("type"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.col("text").alias("block")),
     )
-    rows = responses.where(F.col("record_id").isNotNull()).select("page_id", F.col("record_id").alias("refers_to"), "target_uri", "warc_date", F.col("http_headers").alias("source_headers"), F.col("payload_digest").alias("source_digest"), F.explode(made).alias("r"))
+    rows = made.select("page_id", "refers_to", "target_uri", "warc_date", "source_headers", "source_digest", F.explode(records).alias("r"))
     return rows.where("r.type = 'metadata' or r.block <> ''").select(
         "page_id", F.col("r.type").alias("record_type"), uuid_of(F.concat("r.type", F.lit("|"), "refers_to")).alias("record_id"), "refers_to", "target_uri", "warc_date", F.col("r.content_type").alias("content_type"),
         F.octet_length("r.block").cast("long").alias("content_length"), digest_of(F.col("r.block")).alias("block_digest"), "source_digest", "source_headers", F.col("r.block").alias("block"),
