@@ -126,8 +126,17 @@ def _joined(f):
 
 
 def _in_two_documents(rows: DataFrame) -> DataFrame:
-    """Rows (mark, doc, pos) whose mark stands in two documents or more: one shuffle, by mark."""
-    return rows.selectExpr("*", "min(doc) over (partition by mark) as low", "max(doc) over (partition by mark) as high").where("low <> high").drop("low", "high")
+    """Distinct rows (mark, doc, pos) whose mark stands in two documents or more, as a written table.
+
+    Marks are counted map-side, and rows meet them by a semi-join, which Spark can split: a
+    passage that millions of documents share is no task of its own.
+    """
+    rows = S.written(rows)
+    marks = S.written(rows.groupBy("mark").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("mark"))
+    out = S.written(S.filter_ids(rows, marks, "mark", "left_semi").distinct())
+    S.discard(rows)
+    S.discard(marks)
+    return out
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
@@ -146,15 +155,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     others = S.written(S.filter_ids(marked.where("alone").select("doc"), copies, "doc", "left_semi").distinct())
     single = S.filter_ids(texts, S.written(S.filter_ids(copies, others, "doc", "left_anti")), "doc", "left_anti")
     whole = marked.where("rep is not null")
-    seeds = _in_two_documents(single.mapInArrow(_joined(_samples(half)), triple))
-    seeds = S.written(seeds.groupBy("doc").agg(F.collect_set("pos").alias("found")))
+    samples = _in_two_documents(single.mapInArrow(_joined(_samples(half)), triple))
+    seeds = S.written(samples.groupBy("doc").agg(F.collect_set("pos").alias("found")))
+    S.discard(samples)
     near = single.join(F.broadcast(seeds) if S.small(seeds, 64, "found", 4) else seeds, "doc").select("doc", "text", "found")
-    level = S.written(_in_two_documents(near.mapInArrow(_joined(_doubled(half)), triple)).distinct())
+    level = _in_two_documents(near.mapInArrow(_joined(_doubled(half)), triple))
     found, length = level.select("doc", "pos", F.lit(min_words).alias("len")), min_words
     while True:
         on = level.select("doc", (F.col("pos") - length).cast("int").alias("pos"), F.col("mark").alias("next"))
         longer = level.join(on, ["doc", "pos"]).select(F.xxhash64("mark", "next").alias("mark"), "doc", "pos")
-        level, length = S.written(_in_two_documents(longer)), 2 * length
+        level, length = _in_two_documents(longer), 2 * length
         if level.isEmpty():
             break
         found = found.unionByName(level.select("doc", "pos", F.lit(length).alias("len")))
