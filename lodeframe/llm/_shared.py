@@ -27,8 +27,8 @@ _GRAM = 0xD6E8FEB86659FD93 | 1
 _GRAM_INV = pow(_GRAM, -1, 1 << 64)
 #: Bytes of text cut and hashed at once; bounds a worker's memory.
 CHUNK_BYTES = 1 << 18
-#: Bytes that may be broadcast; a larger side is joined by a shuffle.
-BROADCAST_BYTES = 64_000_000
+#: Bytes (estimated) that may be broadcast; a larger side is joined by a shuffle.
+BROADCAST_BYTES = 128_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,7 +96,7 @@ def filter_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     Its size is counted first: up to BROADCAST_BYTES it is broadcast, so that df (wide
     texts) doesn't move; beyond that it is an ordinary shuffled join.
     """
-    return df.join(F.broadcast(ids) if small(ids, 32) else ids.hint("merge"), key, how)
+    return df.join(F.broadcast(ids) if small(ids, 64) else ids.hint("merge"), key, how)
 
 
 def small(rows: DataFrame, row_bytes: int, lists: str | None = None, entry_bytes: int = 0) -> bool:
