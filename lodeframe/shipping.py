@@ -10,12 +10,19 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: Bytes of an Arrow batch: what a task holds outside the heap, several times over, while texts go to Python and back.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+
+
 def ship(spark: SparkSession) -> None:
     """Sends the package's sources to the executors, once per application.
 
-    Spark's own file server carries the archive, so no shared disk is needed.
+    Spark's own file server carries the archive, so no shared disk is needed. Arrow batches
+    are kept small, unless the application's configuration sets their size.
     """
     sc = spark.sparkContext
+    if not sc.getConf().contains(BATCH_SETTING):
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
     if getattr(sc, "_lodeframe_shipped", False):
         return
     root = Path(__file__).resolve().parent
