@@ -7,12 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeframe.session import few
+
 
 def crosswalk(df: DataFrame, code: str, exact: DataFrame, prefix: DataFrame, digits: int = 3, name: str = "sector_sdg") -> DataFrame:
-    """The topic of the whole code, else that of its first digits; two joins with tables (key, value), sent to all tasks if Spark knows that they are small."""
+    """The topic of the whole code, else that of its first digits; two joins with tables (key, value), sent to all tasks if they are small."""
     e = exact.select(F.col("key").alias("__e"), F.col("value").alias("__ev"))
     p = prefix.select(F.col("key").alias("__p"), F.col("value").alias("__pv"))
-    out = df.join(e, F.col(code) == F.col("__e"), "left").join(p, F.substring(code, 1, digits) == F.col("__p"), "left")
+    out = df.join(few(e), F.col(code) == F.col("__e"), "left").join(few(p), F.substring(code, 1, digits) == F.col("__p"), "left")
     return out.withColumn(name, F.coalesce("__ev", "__pv")).drop("__e", "__ev", "__p", "__pv")
 
 

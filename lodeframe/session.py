@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(app: str = "lodeframe", master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -28,3 +29,8 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     if len(df.inputFiles()) >= cores or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > cores * (32 << 20):
         return df
     return df.repartition(cores, key)
+
+
+def few(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows, which is looked at first; Spark doesn't know the size of a table made of literals."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeframe.functions import scalar
+from lodeframe.session import few
 
 RAW_COLUMNS = ("news_id", "pub_date", "provider", "reporter", "title", "category1", "category2", "category3", "incident1", "incident2", "incident3", "persons", "places", "organizations", "keywords", "top_keywords", "body", "url", "exclude_flag")
 
@@ -105,7 +106,7 @@ def pending(inputs: DataFrame, manifest: DataFrame, key: str, force: bool = Fals
 def outlet_lookup(df: DataFrame, codes: DataFrame, code: str = "code") -> DataFrame:
     """df with outlet and media_category of its code, null if unknown; of codes listed twice the first name."""
     first = codes.groupBy(code).agg(F.min(F.struct("outlet", "media_category")).alias("o")).select(code, "o.*")
-    return df.join(first, code, "left")
+    return df.join(few(first), code, "left")
 
 
 def codes_of_category(codes: DataFrame, code: str = "code") -> DataFrame:
