@@ -195,8 +195,8 @@ def windows(hashes: np.ndarray, length: int) -> np.ndarray:
     return mix((total[length:] - total[:-length]) * powers(_GRAM_INV, len(hashes))[:n] + U64(length))
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of batches with about CHUNK_BYTES of text each; a longer text is a slice of its own."""
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of batches with about most bytes of text each; a longer text is a slice of its own."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -204,7 +204,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
         at = np.concatenate([[0], np.cumsum(size)])
         begin = 0
         while begin < batch.num_rows:
-            stop = max(begin + 1, int(np.searchsorted(at, at[begin] + CHUNK_BYTES, side="right")) - 1)
+            stop = max(begin + 1, int(np.searchsorted(at, at[begin] + most, side="right")) - 1)
             yield batch.slice(begin, stop - begin)
             begin = stop
     # Workers are used again by other stages: what this one no longer needs goes back.

@@ -3,7 +3,9 @@
 A text is cut into pieces by the vocabulary's pattern. A piece's bytes are a doubly linked
 list of symbols; a priority queue holds each adjacent pair that the vocabulary can merge,
 lowest rank first and the leftmost of equals. A popped entry is skipped as stale if one of
-its symbols has been merged since. Decoding concatenates the tokens' byte strings.
+its symbols has been merged since. That is how long pieces are merged; the others of some
+megabytes of text, each distinct one once, are merged side by side with numpy by the same
+rule (Pairs). Decoding concatenates the tokens' byte strings.
 
 The vocabulary is a file of lines "base64(token) rank" (path is a parameter; it is never
 trained or copied here). Every byte is a token of it, so any text can be encoded; special
@@ -21,8 +23,8 @@ from __future__ import annotations
 
 import base64
 import heapq
+import itertools
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +39,11 @@ from lodeframe.llm import _shared as S
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the public byte-level vocabularies cut texts into pieces.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces, and strings of one or more, that a worker remembers (twice as many at most).
-REMEMBERED_PIECES, REMEMBERED_STRINGS = 200_000, 40_000
+#: Bytes of text that are encoded at once: equal strings, and equal pieces of them, are encoded once.
+ENCODED = 1 << 21
+#: Pieces that are merged at once, and the bytes of the longest of them; longer ones are merged one by one.
+ROWS, WIDEST = 8192, 64
+_NONE = np.iinfo(np.int32).max
 _MIXED = re.compile(r"\s (?:\s|$)").search
 
 
@@ -83,76 +88,173 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class _Remembered(dict):
-    """Results by string. At most entries are young; then they become the old ones, of which
-    those that are asked for are young again, so frequent strings stay."""
-
-    def __init__(self, entries: int):
-        self.entries, self.old = entries, {}
-
-    def make(self, string: str) -> bytes:
-        raise NotImplementedError
-
-    def __missing__(self, string: str) -> bytes:
-        ids = self.old.get(string)
-        if ids is None:
-            ids = self.make(string)
-        if len(string) <= 40:
-            if len(self) >= self.entries:
-                self.old = dict(self)
-                self.clear()
-            self[string] = ids
-        return ids
-
-
-class _Pieces(_Remembered):
-    """A piece's token ids as bytes of int32."""
+class Pairs:
+    """Merges of many short pieces at once, by the rule of merge()."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        super().__init__(REMEMBERED_PIECES)
-        self.ranks = ranks
-
-    def make(self, string: str) -> bytes:
-        return array("i", merge(string.encode("utf-8", "surrogatepass"), self.ranks)).tobytes()
-
-
-class _Strings(_Remembered):
-    """The same for a string between two blanks, the blank before it included."""
-
-    def __init__(self, pieces: _Pieces):
-        super().__init__(REMEMBERED_STRINGS)
-        self.pieces, self.cut = pieces, regex.compile(PATTERN).findall
-
-    def make(self, string: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.cut(" " + string)))
+        self.bytes = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        get, left, right, both = ranks.get, [], [], []
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                a, b = get(token[:i]), get(token[i:])
+                if a is not None and b is not None:
+                    left.append(a)
+                    right.append(b)
+                    both.append(rank)
+        key = self._key(np.array(left, np.int64), np.array(right, np.int64))
+        # A hash table: a pair lies in its slot or, if others were there before, in one behind it.
+        self.mask = (1 << max(4, int(4 * len(key)).bit_length())) - 1
+        self.keys, self.ranks = np.full(self.mask + 1, -1, np.int64), np.full(self.mask + 1, _NONE, np.int32)
+        slot, todo = self._slot(key), np.arange(len(key))
+        while len(todo):
+            free = todo[self.keys[slot[todo]] == -1]
+            self.keys[slot[free]] = key[free]
+            todo = todo[self.keys[slot[todo]] != key[todo]]
+            slot[todo] = slot[todo] + 1 & self.mask
+        self.ranks[slot] = both
+
+    @staticmethod
+    def _key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return a << 32 | b
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (S.mix(key.view(np.uint64)) & np.uint64(self.mask)).astype(np.int64)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair of symbols, _NONE if there is none; -1 is no symbol."""
+        key = self._key(a.astype(np.int64), b.astype(np.int64))
+        key[(a < 0) | (b < 0)] = -2
+        slot = self._slot(key)
+        found = self.keys[slot]
+        out = np.where(found == key, self.ranks[slot], _NONE)
+        (more,) = np.nonzero((found != key) & (found != -1) & (key != -2))
+        while len(more):
+            slot[more] = slot[more] + 1 & self.mask
+            found = self.keys[slot[more]]
+            same = found == key[more]
+            out[more[same]] = self.ranks[slot[more[same]]]
+            more = more[~same & (found != -1)]
+        return out
+
+    def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The tokens of some pieces, of two bytes or more each: which piece, their number, and
+        the tokens of all in that order.
+
+        Pieces have a row of symbols each, and every round merges one pair in each row, so that
+        all rows are one symbol shorter; those without a pair are ready.
+        """
+        rows, which, count, flat = np.arange(len(pieces)), [], [], []
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        inside = np.arange(sizes.max()) < sizes[:, None]
+        symbols = np.full(inside.shape, -1, np.int32)
+        symbols[inside] = self.bytes[np.frombuffer(b"".join(pieces), np.uint8)]
+        ranks = self.rank(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(len(pieces), -1)
+        while len(rows):
+            each, n = np.arange(len(rows)), symbols.shape[1]
+            at = ranks.argmin(axis=1) if n > 1 else np.zeros(len(rows), np.int64)
+            low = ranks[each, at] if n > 1 else np.full(len(rows), _NONE)
+            if (low == _NONE).any():
+                ready, go = symbols[low == _NONE], low != _NONE
+                which.append(rows[~go])
+                count.append((ready >= 0).sum(axis=1))
+                flat.append(ready[ready >= 0])
+                rows, symbols, ranks, at, low = rows[go], symbols[go], ranks[go], at[go], low[go]
+                each = each[: len(rows)]
+                if not len(rows):
+                    break
+            symbols[each, at] = low
+            stay = np.arange(n) != at[:, None] + 1
+            symbols, ranks = symbols[stay].reshape(-1, n - 1), ranks[stay[:, 1:]].reshape(-1, n - 2)
+            for has, left in ((at > 0, at - 1), (at < n - 2, at)):
+                i, j = each[has], left[has]
+                ranks[i, j] = self.rank(symbols[i, j], symbols[i, j + 1])
+        return np.concatenate(which), np.concatenate(count), np.concatenate(flat)
+
+
+def _gathered(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists that which names, one after the other, and their sizes; flat and sizes are all lists."""
+    begin, size = (np.cumsum(sizes) - sizes)[which], sizes[which]
+    at = np.repeat(begin - (np.cumsum(size) - size), size)
+    at += np.arange(len(at))
+    return flat[at], size
+
+
+def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The sum of each list's values; counts are the lists' lengths."""
+    total = np.concatenate([[0], np.cumsum(values)])
+    at = np.concatenate([[0], np.cumsum(counts)])
+    return total[at[1:]] - total[at[:-1]]
 
 
 class Encoder:
     def __init__(self, path: str):
         self.ranks = load_vocabulary(path)
         self.tokens = {r: t for t, r in self.ranks.items()}
-        self.pieces = _Pieces(self.ranks)
-        self.strings = _Strings(self.pieces)
-
-    def ids(self, text: str) -> bytes:
-        """Token ids as bytes of int32.
+        known = np.full(max(self.tokens) + 1, None, object)
+        known[list(self.tokens)] = list(self.tokens.values())
+        self.by_id = pa.array(known, pa.binary())
+        self.pairs, self.cut = Pairs(self.ranks), regex.compile(PATTERN).findall
+
+    def pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of pieces, one piece's after the other, and their numbers. Equal pieces are merged once."""
+        coded = pa.array(pieces, pa.large_string()).dictionary_encode()
+        distinct = [piece.encode("utf-8") for piece in coded.dictionary.to_pylist()]
+        whole = np.fromiter(map(self.ranks.get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
+        (parts,) = np.nonzero(whole < 0)
+        sizes = np.fromiter((len(distinct[i]) for i in parts), np.int64, len(parts))
+        parts, sizes = parts[order := np.argsort(sizes, kind="stable")], np.sort(sizes)
+        short = int(np.searchsorted(sizes, WIDEST, side="right"))
+        which, count, flat = [np.flatnonzero(whole >= 0)], [np.ones(len(whole) - len(order), np.int64)], [whole[whole >= 0]]
+        for i in range(0, short, ROWS):
+            of, n, ids = self.pairs.merge([distinct[j] for j in parts[i : min(i + ROWS, short)]])
+            which.append(parts[i + of])
+            count.append(n)
+            flat.append(ids)
+        for j in parts[short:]:
+            ids = merge(distinct[j], self.ranks)
+            which.append(np.array([j]))
+            count.append(np.array([len(ids)]))
+            flat.append(np.array(ids))
+        place = np.empty(len(distinct), np.int64)
+        place[np.concatenate(which)] = np.arange(len(distinct))
+        return _gathered(np.concatenate(flat).astype(np.int32), np.concatenate(count), place[coded.indices.to_numpy()])
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The token ids of texts, one text's after the other, and their numbers.
 
         No piece goes on beyond a blank but one that begins with it or is white space, so the
-        strings between blanks are encoded each for itself; not so where a blank stands
-        between white space, or behind it at the end.
+        strings between blanks are encoded each for itself, equal ones once; not so where a
+        blank stands between white space, or behind it at the end: such texts are not cut at
+        blanks. What comes before the first blank is encoded without one.
         """
-        if _MIXED(text):
-            return b"".join(map(self.pieces.__getitem__, self.strings.cut(text)))
-        first, _, rest = text.partition(" ")
-        head = b"".join(map(self.pieces.__getitem__, self.strings.cut(first)))
-        return head + b"".join(map(self.strings.__getitem__, rest.split(" "))) if _ else head
+        mixed = [_MIXED(text) is not None for text in texts]
+        cut = pc.split_pattern(pa.array(["" if m else text for m, text in zip(mixed, texts, strict=True)], pa.large_string()), " ")
+        strings = cut.flatten().dictionary_encode()
+        distinct = strings.dictionary.to_pylist()
+        found = [*map(self.cut, map(" ".__add__, distinct)), *(self.cut(text if m else text.partition(" ")[0]) for m, text in zip(mixed, texts, strict=True))]
+        flat, sizes = self.pieces(list(itertools.chain.from_iterable(found)))
+        sizes = _sums(sizes, np.fromiter(map(len, found), np.int64, len(found)))
+        # The first string of each text gives way to what was found before its first blank.
+        counts = pc.list_value_length(cut).to_numpy()
+        which = strings.indices.to_numpy().astype(np.int64)
+        which[np.cumsum(counts) - counts] = len(distinct) + np.arange(len(texts))
+        flat, sizes = _gathered(flat, sizes, which)
+        return flat, _sums(sizes, counts)
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.ids(text), np.int32).tolist()
+        return self.ids([text])[0].tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
+    def decoded(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The same for many texts: ids one text's after the other, and where each text's end."""
+        out = self.by_id.take(pa.array(ids))
+        at = np.frombuffer(out.buffers()[1], np.int32)[: len(ids) + 1]
+        data = memoryview(out.buffers()[2] or b"")
+        stops = at[ends].tolist() if len(ids) else [0] * len(ends)
+        return [bytes(data[a:b]) for a, b in zip([0, *stops], stops, strict=False)]
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -167,19 +269,16 @@ def encoder(path: str) -> Encoder:
 def _encode(path: str, verify: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for part in S.chunks(batches):
-            values, counts, same = [], [], []
-            for text in part.column(1).to_pylist():
-                ids = np.frombuffer(e.ids(text or ""), np.int32)
-                values.append(ids)
-                counts.append(len(ids))
-                if verify:
-                    same.append(None if text is None else e.decode(ids.tolist()) == text.encode("utf-8", "surrogatepass"))
+        for part in S.chunks(batches, most=ENCODED):
+            texts = part.column(1).to_pylist()
+            flat, counts = e.ids([text or "" for text in texts])
+            if verify:
+                back = e.decoded(flat, np.cumsum(counts))
+                same = [None if text is None else text.encode("utf-8", "surrogatepass") == x for text, x in zip(texts, back, strict=True)]
             null = pc.is_null(part.column(1))
-            flat = np.concatenate(values) if values else np.zeros(0, np.int32)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=null)
-            number = pa.array(np.array(counts, np.int32), mask=np.asarray(null))
+            number = pa.array(counts.astype(np.int32), mask=np.asarray(null))
             columns = {"doc_id": part.column(0), "n_tokens": number, "token_ids": ids} | ({"round_trip": pa.array(same, pa.bool_())} if verify else {})
             yield pa.RecordBatch.from_pydict(columns)
 

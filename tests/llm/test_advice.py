@@ -8,7 +8,7 @@ from collections import Counter
 
 import pytest
 
-from lodeframe.llm import decontam, licenses, near_join, pii
+from lodeframe.llm import bpe, decontam, licenses, near_join, pii
 from tests.llm.test_brute import plain_alignment
 
 
@@ -133,3 +133,24 @@ def test_an_item_with_long_insertions_leaks(spark):
     bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
     (r,) = decontam.leaks(spark.createDataFrame([(1, " ".join(text))], "doc_id long, text string"), bench).collect()
     assert (r.doc_id, r.item_id, r.first_word, r.end_word) == (1, 7, 1, 171) and abs(r.score - 100 / 180) < 1e-12
+
+
+@pytest.mark.parametrize("path", [bpe.VOCABULARY, bpe.VOCABULARY.replace("byte_bpe", "byte_bpe_multi")])
+def test_pieces_are_merged_side_by_side_once(path, monkeypatch):
+    """By the rule of the queue, which is left to long pieces; before, each piece that was not remembered took it."""
+    rng = random.Random(13)
+    letters = ["a", "b", "th", "e", "in", "é", "ß", "日", "\u0301", "ab", "tion"]
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 22))) for _ in range(20_000)] + ["a" * n for n in range(2, 65)]
+    e = bpe.Encoder(path)
+    pieces = [x for w in words if 1 < len(x := w.encode()) <= bpe.WIDEST]
+    which, count, flat = e.pairs.merge(pieces)
+    ends = [0, *itertools.accumulate(count.tolist())]
+    got = {int(i): flat[a:b].tolist() for i, a, b in zip(which, ends, ends[1:], strict=False)}
+    assert sorted(got) == list(range(len(pieces))) and all(got[i] == bpe.merge(x, e.ranks) or x in e.ranks for i, x in enumerate(pieces))
+    queued, queue = [], bpe.merge
+    monkeypatch.setattr(bpe, "merge", lambda piece, ranks: queued.append(piece) or queue(piece, ranks))
+    texts = [" ".join(words[i : i + 50]) for i in range(0, len(words), 50)] + ["x " + "ab" * 500, "", " \n a", "b  c "]
+    flat, counts = e.ids(texts)
+    ends = [0, *itertools.accumulate(counts.tolist())]
+    assert [e.decode(flat[a:b].tolist()).decode() for a, b in zip(ends, ends[1:], strict=False)] == texts
+    assert all(len(x) > bpe.WIDEST for x in queued) and queued
