@@ -7,7 +7,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from lodeframe.functions import scalar, topics
-from lodeframe.operators import measures, ml, order, sampling, scoring, stats
+from lodeframe.operators import aid, measures, ml, order, sampling, scoring, stats
 
 LEX = {1: ["빈곤", "빈곤율"], 2: ["학교"], 3: ["ODA"]}
 
@@ -247,3 +247,17 @@ def test_weights_and_scores_of_a_text_model(spark):
     for i in range(len(m.coef)):
         for step in (-0.05, 0.05):
             assert loss([c + step * (j == i) for j, c in enumerate(m.coef)], m.intercept) > best - 1e-4
+
+
+def test_sums_of_amounts_do_not_depend_on_the_order_of_rows(spark):
+    """Amounts of eight places whose sums lie right between two of four: half up of the exact sum, NaN and large amounts as they are."""
+    rng, rows, want = random.Random(21), [], {}
+    for k in range(300):
+        units = [rng.randrange(10**6, 10**7) for _ in range(20)]
+        units.append(10_000 + (5_000 - sum(units)) % 10_000)
+        rows += [(k, u / 1e8) for u in units]
+        want[k] = (sum(units) // 10_000 + 1) / 1e4
+    rows += [(-1, float("nan")), (-1, 1.0), (-2, 1e20), (-2, None), (-3, None)]
+    got = {r.k: r.total for r in spark.createDataFrame(rows, "k int, amount double").groupBy("k").agg(F.round(aid.total("amount"), 4).alias("total")).collect()}
+    assert math.isnan(got.pop(-1)) and got.pop(-2) == 1e20 and got.pop(-3) is None
+    assert got == want
