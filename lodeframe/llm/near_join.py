@@ -27,7 +27,9 @@ distance never exceeds the symmetric difference. The join has these steps:
 
 Result: doc_id_a < doc_id_b, jaccard. Documents with equal sets are paired with the lowest
 id among them (jaccard 1), and only that one is paired with others, so thousands of
-copies give rows in proportion; expand_pairs() gives every pair.
+copies give rows in proportion; expand_pairs() gives every pair. Pairs of a family of near
+copies still grow with its square: near_classes(), which the query gives, has one row for
+each document, with its class and the number of its links, all of them counted.
 
 Ids are integers; other types raise a TypeError. Nulls, empty texts and texts without words
 have empty sets and no partner. Rows with a null id are left out; rows that repeat an id and
@@ -40,7 +42,7 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -323,11 +325,12 @@ def _sets(n: int):
     return run
 
 
-def similar_pairs(grams: np.ndarray, sizes: np.ndarray, side: np.ndarray, t: float, spanning: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def similar_pairs(grams: np.ndarray, sizes: np.ndarray, side: np.ndarray, t: float, spanning: bool, found: Callable[[int, np.ndarray], None] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of two sets whose Jaccard similarity is t or more, and it; grams are flat, sizes their numbers.
 
     The grams of one set are marked, and those of all sets of a size that can reach t are
     looked up at once. spanning: only pairs that connect what isn't connected by others.
+    found: gets a place and all its partners (each pair once) in place of the result, which isn't held.
     """
     order = np.lexsort((sizes, side))
     first = np.concatenate([[0], np.cumsum(sizes)])
@@ -358,6 +361,9 @@ def similar_pairs(grams: np.ndarray, sizes: np.ndarray, side: np.ndarray, t: flo
     if not spanning:
         for i in range(len(size) if cut < 0 else cut):
             j, similar = partners(i, cut < 0)
+            if found is not None:
+                found(int(order[i]), order[j])
+                continue
             us.append(np.full(len(j), i))
             vs.append(j)
             js.append(similar)
@@ -406,6 +412,42 @@ def _compare(t: float, spanning: bool):
     return lambda batches: S.together(run(batches))
 
 
+def _links(t: float):
+    """Of each block (block, side, doc, mark, grams) the links that each set has in it (doc, mark, links), and those
+    that connect what isn't connected by others (doc, other): rows as many as sets, not as pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches):
+            block, side, doc, mark = (rows.column(c).to_numpy(zero_copy_only=False) for c in range(4))
+            sizes = pc.binary_length(rows.column(4)).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+            first = np.concatenate([[0], np.cumsum(sizes)])
+            grams = S.flat(rows.column(4), np.uint64)
+            edges = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]])
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if b - a < 2:
+                    continue
+                links, part, us, vs = np.zeros(b - a, np.int64), np.arange(b - a), [], []
+
+                def found(i: int, j: np.ndarray, links=links, part=part, us=us, vs=vs) -> None:
+                    links[i] += len(j)
+                    links[j] += 1
+                    other, at = np.unique(part[j], return_index=True)
+                    new = other != part[i]
+                    if new.any():
+                        us.append(np.full(int(new.sum()), i))
+                        vs.append(j[at[new]])
+                        part[np.isin(part, other[new])] = part[i]
+
+                similar_pairs(grams[first[a] : first[b]], sizes[a:b], side[a:b], t, False, found)
+                (has,) = np.nonzero(links)
+                u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
+                nulls = lambda n: pa.nulls(n, pa.int64())
+                columns = [np.concatenate([doc[a + has], doc[a + u]]), [pa.array(mark[a + has]), nulls(len(u))], [pa.array(links[has]), nulls(len(u))], [nulls(len(has)), pa.array(doc[a + v])]]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0]), *(pa.concat_arrays(x) for x in columns[1:])], names=["doc", "mark", "links", "other"])
+
+    return lambda batches: S.together(run(batches))
+
+
 def _squares(rows: DataFrame, key: str, parts: DataFrame) -> DataFrame:
     """rows (with key) once for each square of blocks that they are in: block and side instead of key.
 
@@ -418,11 +460,10 @@ def _squares(rows: DataFrame, key: str, parts: DataFrame) -> DataFrame:
     return split.select(F.xxhash64(key, F.least("c", "o"), F.greatest("c", "o")).alias("block"), side.alias("side"), *(c for c in rows.columns if c != key))
 
 
-def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 2, threshold: float = 0.55, spanning: bool = False) -> DataFrame:
-    """Pairs of documents whose n-gram sets have a Jaccard similarity of threshold or more.
-
-    spanning: only as many pairs as connect what is connected.
-    """
+def _met(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The profiles (doc, n, m1, m2, ...) with rep, the lowest id of an equal set; and the sets of those that are likely
+    similar, in blocks where each pair meets once (block, side, doc, mark, marks, grams). marks are the m1 of the sets
+    that doc goes on with."""
     texts = docs.select(S.id_of(docs, id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null")
     counts = gram_counts(texts, n)
     bands = ", ".join(f"keys{i} array<long>, k{i} int, s{i} binary" for i in (0, 1))
@@ -430,7 +471,6 @@ def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Copies are counted map-side, so that thousands of them are a row of each task, and wide rows don't move.
     copies = S.written(profiles.groupBy("m1", "m2").agg(F.min("doc").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"))
     marked = profiles.join(F.broadcast(copies) if S.small(copies, 64) else copies, ["m1", "m2"], "left").withColumn("rep", F.coalesce("rep", "doc"))
-    equal = marked.where("doc <> rep").select(F.col("rep").alias("doc_id_a"), F.col("doc").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
     alone = marked.where("doc = rep")
     # One shuffle of (key, id, sketch). Where documents meet, their sketches are compared at
     # once, and only edges that connect likely pairs go on: as many as documents at most.
@@ -446,18 +486,46 @@ def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     group = components(edges, "u", "v")
     # A group is compared in squares of some WORK: a set moves once for each square it is in,
     # not once for each pair.
-    group = S.written(group.join(alone.groupBy("doc").agg(F.max("n").alias("n")), "doc"))
+    group = S.written(group.join(alone.groupBy("doc").agg(F.max("n").alias("n"), F.collect_set("m1").alias("marks")), "doc"))
     grams = F.sum(F.col("n").cast("double"))
     parts = group.groupBy("root").agg(F.greatest(F.ceil(grams / GRAMS), F.ceil(F.sqrt(F.count("*") * grams / WORK))).cast("int").alias("parts"))
-    squares = S.written(_squares(group.select("doc", "root"), "root", parts))
+    squares = S.written(_squares(group.select("doc", "marks", "root"), "root", parts))
     sets = S.filter_ids(texts, group.select("doc"), "doc", "left_semi").mapInArrow(_sets(n), "doc long, mark long, grams binary")
     sets = sets.repartition("doc").dropDuplicates(["doc", "mark"])
-    blocks = sets.join(squares, "doc").select("block", "side", "doc", "grams")
-    near = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_compare(threshold, spanning), "doc_id_a long, doc_id_b long, jaccard double")
+    return marked, sets.join(squares, "doc")
+
+
+def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 2, threshold: float = 0.55, spanning: bool = False) -> DataFrame:
+    """Pairs of documents whose n-gram sets have a Jaccard similarity of threshold or more.
+
+    spanning: only as many pairs as connect what is connected.
+    """
+    marked, blocks = _met(docs, id_col, text_col, n, threshold)
+    equal = marked.where("doc <> rep").select(F.col("rep").alias("doc_id_a"), F.col("doc").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
+    near = blocks.select("block", "side", "doc", "grams").repartition("block").sortWithinPartitions("block").mapInArrow(_compare(threshold, spanning), "doc_id_a long, doc_id_b long, jaccard double")
     # Texts of the same id may give a pair more than once.
     return near.unionByName(equal).groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
 
 
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 2, threshold: float = 0.55) -> DataFrame:
+    """doc_id, class_id and n_links of each id: a row for each, whatever the size of a family of near copies.
+
+    Texts are linked if the Jaccard similarity of their n-gram sets is threshold or more. class_id is the lowest id that
+    links, and copies, lead to. n_links is the number of other sets that the document's is linked to, each counted once
+    however many documents have it; of an id that names several texts it is the sum over their sets. Ids without words
+    are classes of their own, without links; rows with a null id are left out.
+    """
+    marked, blocks = _met(docs, id_col, text_col, n, threshold)
+    own = blocks.where("array_contains(marks, mark)").select("block", "side", "doc", "mark", "grams")
+    met = S.written(own.repartition("block").sortWithinPartitions("block").mapInArrow(_links(threshold), "doc long, mark long, links long, other long"))
+    edges = met.where("other is not null").select(F.col("doc").alias("a"), F.col("other").alias("b")).unionByName(marked.where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b")))
+    classes = components(edges, "a", "b")
+    links = met.where("other is null").groupBy(F.col("doc").alias("rep"), F.col("mark").alias("m1")).agg(F.sum("links").alias("links"))
+    links = marked.select("doc", "rep", "m1").distinct().join(links, ["rep", "m1"]).groupBy("doc").agg(F.sum("links").alias("links"))
+    ids = docs.select(S.id_of(docs, id_col).alias("doc")).where("doc is not null").distinct()
+    return ids.join(classes, "doc", "left").join(links, "doc", "left").select(F.col("doc").alias("doc_id"), F.coalesce("root", "doc").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"))
+
+
 def expand_pairs(pairs: DataFrame) -> DataFrame:
     """Every pair of near_pairs(), those between copies too; grows with the square of a group of copies."""
     copies = pairs.where("jaccard = 1").selectExpr("doc_id_a as rep", "doc_id_b as doc")

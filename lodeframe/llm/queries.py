@@ -30,9 +30,9 @@ def query(oracle: str | None = None):
     return add
 
 
-@query(O.NEAR_PAIRS)
+@query(O.NEAR_CLASSES)
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_join.near_pairs(table(spark, sf_dir, "documents"))
+    return near_join.near_classes(table(spark, sf_dir, "documents"))
 
 
 @query()

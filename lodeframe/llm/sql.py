@@ -4,18 +4,24 @@ from lodeframe.llm import warc
 
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 
-NEAR_PAIRS = f"""
-WITH w AS (SELECT DISTINCT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
-s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 1 THEN w
+NEAR_CLASSES = f"""
+WITH RECURSIVE ids AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL),
+w AS (SELECT DISTINCT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 1 THEN w
         ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS g FROM w WHERE len(w) > 0),
-r AS (SELECT g, min(doc_id) AS rep, len(g) AS n FROM s GROUP BY g),
-e AS (SELECT rep, n, unnest(g) AS gram FROM r),
-c AS (SELECT a.rep AS a, b.rep AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS same
-      FROM e a JOIN e b ON a.gram = b.gram AND a.rep < b.rep GROUP BY 1, 2)
-SELECT a AS doc_id_a, b AS doc_id_b, same::DOUBLE / (na + nb - same) AS jaccard FROM c
-WHERE same::DOUBLE / (na + nb - same) >= 0.55::DOUBLE
-UNION ALL
-SELECT r.rep, s.doc_id, 1.0::DOUBLE FROM s JOIN r USING (g) WHERE s.doc_id <> r.rep
+r AS MATERIALIZED (SELECT g, min(doc_id) AS rep, len(g) AS n, row_number() OVER () AS k FROM s GROUP BY g),
+m AS MATERIALIZED (SELECT doc_id, k FROM s JOIN r USING (g)),
+e AS (SELECT k, n, unnest(g) AS gram FROM r),
+c AS (SELECT a.k AS a, b.k AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS same
+      FROM e a JOIN e b ON a.gram = b.gram AND a.k < b.k GROUP BY 1, 2),
+p AS MATERIALIZED (SELECT a, b FROM c WHERE same::DOUBLE / (na + nb - same) >= 0.55::DOUBLE),
+l AS MATERIALIZED (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+x AS MATERIALIZED (SELECT a, b FROM l UNION SELECT y.k, z.k FROM m y JOIN m z USING (doc_id) WHERE y.k <> z.k),
+t AS (SELECT k AS a, k AS b FROM r UNION SELECT t.a, x.b FROM t JOIN x ON t.b = x.a),
+f AS (SELECT t.a AS k, min(r.rep) AS class_id FROM t JOIN r ON t.b = r.k GROUP BY t.a),
+d AS (SELECT a AS k, count(*) AS links FROM l GROUP BY a)
+SELECT doc_id, coalesce(min(class_id), doc_id) AS class_id, coalesce(sum(links), 0)::BIGINT AS n_links
+FROM ids LEFT JOIN m USING (doc_id) LEFT JOIN f USING (k) LEFT JOIN d USING (k) GROUP BY doc_id
 """
 
 FINGERPRINTS = f"""

@@ -154,3 +154,30 @@ def test_pieces_are_merged_side_by_side_once(path, monkeypatch):
     ends = [0, *itertools.accumulate(counts.tolist())]
     assert [e.decode(flat[a:b].tolist()).decode() for a, b in zip(ends, ends[1:], strict=False)] == texts
     assert all(len(x) > bpe.WIDEST for x in queued) and queued
+
+
+def test_near_classes_are_a_row_for_each_document(spark):
+    """Families of near copies, exact copies, an id of several texts, nulls: classes and links of a brute-force version."""
+    rng, docs = random.Random(14), []
+    for k in range(6):
+        base = [f"w{k}x{i}" for i in range(60)]
+        for c in range(40):
+            docs.append((100 * k + c, " ".join(x if rng.random() > 0.004 * c else f"e{k}y{rng.randrange(10**6)}" for x in base)))
+        docs += [(100 * k + 50 + c, docs[-1][1]) for c in range(3)]
+    docs += [(100, docs[0][1]), (100, docs[0][1]), (205, "some other words that stand alone here"), (900, "some other words that stand alone here"), (901, None), (902, "..."), (None, docs[0][1])]
+    sets = {}
+    for i, text in docs:
+        words = re.findall(r"\w+", text or "")
+        if i is not None and words:
+            sets.setdefault(frozenset(zip(words, words[1:], strict=False)), set()).add(i)
+    linked = {a: [b for b in sets if b is not a and len(a & b) >= 0.55 * len(a | b)] for a in sets}
+    root = {i: i for i, _ in docs if i is not None}
+    links = Counter()
+    for a, ids in sets.items():
+        for i in ids:
+            links[i] += len(linked[a])
+        joined = {root[i] for s in (a, *linked[a]) for i in sets[s]}
+        root = {i: min(joined) if r in joined else r for i, r in root.items()}
+    got = near_join.near_classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(root) and {r.doc_id: (r.class_id, r.n_links) for r in got} == {i: (r, links[i]) for i, r in root.items()}
+    assert sum(links.values()) > 4 * len(got) and len(set(root.values())) < 100
