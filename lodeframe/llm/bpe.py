@@ -3,9 +3,10 @@
 A text is cut into pieces by the vocabulary's pattern. A piece's bytes are a doubly linked
 list of symbols; a priority queue holds each adjacent pair that the vocabulary can merge,
 lowest rank first and the leftmost of equals. A popped entry is skipped as stale if one of
-its symbols has been merged since. That is how long pieces are merged; the others of some
-megabytes of text, each distinct one once, are merged side by side with numpy by the same
-rule (Pairs). Decoding concatenates the tokens' byte strings.
+its symbols has been merged since. That is how long pieces are merged; the others are merged
+side by side with numpy by the same rule (Pairs). A worker cuts some megabytes of text at
+once, by the kinds of their characters (Cutter), and keeps the tokens of the pieces that it
+has met, up to a bound. Decoding concatenates the tokens' byte strings.
 
 The vocabulary is a file of lines "base64(token) rank" (path is a parameter; it is never
 trained or copied here). Every byte is a token of it, so any text can be encoded; special
@@ -24,7 +25,6 @@ from __future__ import annotations
 import base64
 import heapq
 import itertools
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,12 +39,15 @@ from lodeframe.llm import _shared as S
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the public byte-level vocabularies cut texts into pieces.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Bytes of text that are encoded at once: equal strings, and equal pieces of them, are encoded once.
+#: Bytes of text that are encoded at once.
 ENCODED = 1 << 21
+#: Distinct pieces whose tokens a worker keeps; beyond that it begins anew.
+KEPT = 1 << 18
 #: Pieces that are merged at once, and the bytes of the longest of them; longer ones are merged one by one.
 ROWS, WIDEST = 8192, 64
 _NONE = np.iinfo(np.int32).max
-_MIXED = re.compile(r"\s (?:\s|$)").search
+#: Kinds of characters: others than these (0), white space, letters, digits, and the mark behind each text.
+_SPACE, _LETTER, _DIGIT, _END = 1, 2, 3, 4
 
 
 def load_vocabulary(path: str) -> dict[bytes, int]:
@@ -171,10 +174,10 @@ class Pairs:
         return np.concatenate(which), np.concatenate(count), np.concatenate(flat)
 
 
-def _gathered(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The lists that which names, one after the other, and their sizes; flat and sizes are all lists."""
-    begin, size = (np.cumsum(sizes) - sizes)[which], sizes[which]
-    at = np.repeat(begin - (np.cumsum(size) - size), size)
+def _gathered(flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists that which names, one after the other, and their sizes; flat holds all lists, begin where each begins."""
+    size = sizes[which]
+    at = np.repeat(begin[which] - (np.cumsum(size) - size), size)
     at += np.arange(len(at))
     return flat[at], size
 
@@ -186,6 +189,64 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
+class Cutter:
+    """Cuts texts into the pieces that PATTERN finds, all texts at once."""
+
+    def __init__(self):
+        points = "".join("\0" if 0xD800 <= i < 0xE000 else chr(i) for i in range(0x110000))
+        self.kinds = np.zeros(len(points), np.uint8)
+        for kind, pattern in ((_SPACE, r"\s+"), (_LETTER, r"\p{L}+"), (_DIGIT, r"\p{N}+")):
+            for run in regex.finditer(pattern, points):
+                self.kinds[run.start() : run.end()] = kind
+        self.ascii = self.kinds[:128].tobytes() + bytes(128)
+
+    def _kinds(self, joined: str, data: bytes) -> np.ndarray:
+        """The kind of each byte's character."""
+        kinds = np.frombuffer(bytearray(data.translate(self.ascii)), np.uint8)
+        if len(joined) < len(data):
+            points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+            points = points[points >= 0x80]
+            (lead,) = np.nonzero(np.frombuffer(data, np.uint8) >= 0xC0)
+            kind = self.kinds[points]
+            for more, least in enumerate((0, 0x80, 0x800, 0x10000)):
+                long = points >= least
+                kinds[lead[long] + more] = kind[long]
+        return kinds
+
+    def cut(self, texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Pieces, which of them are of a text (the others are marks), and each text's number of pieces.
+
+        A piece is a run of one kind, with the blank before it. Of white space before another
+        kind the last character stands alone, and a contraction ends within the letters that follow.
+        """
+        joined = "\0".join([*texts, ""])
+        data = joined.encode("utf-8")
+        size = map(len, texts if len(joined) == len(data) else map(str.encode, texts))
+        ends = np.cumsum(np.fromiter(size, np.int64, len(texts)) + 1) - 1
+        kinds, chars = self._kinds(joined, data), np.frombuffer(data, np.uint8)
+        kinds[ends] = _END
+        begin = np.ones(len(kinds), bool)
+        np.not_equal(kinds[1:], kinds[:-1], out=begin[1:])
+        begin[ends] = True
+        space = kinds == _SPACE
+        (last,) = np.nonzero(space[:-1] & ~space[1:] & (kinds[1:] != _END))
+        begin[last[chars[last] == 32] + 1] = False
+        while (inside := chars[last] & 0xC0 == 0x80).any():  # to the character's first byte
+            last[inside] -= 1
+        begin[last] = True
+        (quote,) = np.nonzero((chars[:-1] == 39) & begin[:-1] & (kinds[1:] == _LETTER))
+        one, two = chars[quote + 1], chars[np.minimum(quote + 2, len(chars) - 1)]
+        short = np.isin(one, np.frombuffer(b"sdmt", np.uint8))
+        long = (one == 108) & (two == 108) | ((one == 118) | (one == 114)) & (two == 101)
+        begin[quote[short | long] + 1] = False
+        begin[quote[short] + 2] = True
+        begin[quote[long] + 3] = True
+        (at,) = np.nonzero(begin)
+        of_text = kinds[at] != _END
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(data))), pa.py_buffer(data)])
+        return pieces, of_text, np.diff(np.flatnonzero(~of_text), prepend=-1) - 1
+
+
 class Encoder:
     def __init__(self, path: str):
         self.ranks = load_vocabulary(path)
@@ -193,52 +254,53 @@ class Encoder:
         known = np.full(max(self.tokens) + 1, None, object)
         known[list(self.tokens)] = list(self.tokens.values())
         self.by_id = pa.array(known, pa.binary())
-        self.pairs, self.cut = Pairs(self.ranks), regex.compile(PATTERN).findall
+        self.pairs, self.cutter = Pairs(self.ranks), Cutter()
+        self._forget()
 
-    def pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The tokens of pieces, one piece's after the other, and their numbers. Equal pieces are merged once."""
-        coded = pa.array(pieces, pa.large_string()).dictionary_encode()
-        distinct = [piece.encode("utf-8") for piece in coded.dictionary.to_pylist()]
-        whole = np.fromiter(map(self.ranks.get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
+    def _forget(self) -> None:
+        self.numbers: dict[bytes, int] = {}
+        self.flat, self.begin, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _keep(self, pieces: list[bytes]) -> None:
+        """Adds the tokens of distinct pieces to those that are kept."""
+        whole = np.fromiter(map(self.ranks.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
         (parts,) = np.nonzero(whole < 0)
-        sizes = np.fromiter((len(distinct[i]) for i in parts), np.int64, len(parts))
-        parts, sizes = parts[order := np.argsort(sizes, kind="stable")], np.sort(sizes)
+        sizes = np.fromiter((len(pieces[i]) for i in parts), np.int64, len(parts))
+        parts, sizes = parts[np.argsort(sizes, kind="stable")], np.sort(sizes)
         short = int(np.searchsorted(sizes, WIDEST, side="right"))
-        which, count, flat = [np.flatnonzero(whole >= 0)], [np.ones(len(whole) - len(order), np.int64)], [whole[whole >= 0]]
+        which, count, flat = [np.flatnonzero(whole >= 0)], [np.ones(len(whole) - len(parts), np.int64)], [whole[whole >= 0]]
         for i in range(0, short, ROWS):
-            of, n, ids = self.pairs.merge([distinct[j] for j in parts[i : min(i + ROWS, short)]])
+            of, n, ids = self.pairs.merge([pieces[j] for j in parts[i : min(i + ROWS, short)]])
             which.append(parts[i + of])
             count.append(n)
             flat.append(ids)
         for j in parts[short:]:
-            ids = merge(distinct[j], self.ranks)
+            ids = merge(pieces[j], self.ranks)
             which.append(np.array([j]))
             count.append(np.array([len(ids)]))
             flat.append(np.array(ids))
-        place = np.empty(len(distinct), np.int64)
-        place[np.concatenate(which)] = np.arange(len(distinct))
-        return _gathered(np.concatenate(flat).astype(np.int32), np.concatenate(count), place[coded.indices.to_numpy()])
+        first = len(self.numbers)
+        self.numbers.update(zip((pieces[i] for i in np.concatenate(which).tolist()), itertools.count(first), strict=False))
+        size = np.concatenate(count)
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
+        self.sizes = np.concatenate([self.sizes, size])
+        self.flat = np.concatenate([self.flat, *flat], dtype=np.int32, casting="unsafe")
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The token ids of texts, one text's after the other, and their numbers.
-
-        No piece goes on beyond a blank but one that begins with it or is white space, so the
-        strings between blanks are encoded each for itself, equal ones once; not so where a
-        blank stands between white space, or behind it at the end: such texts are not cut at
-        blanks. What comes before the first blank is encoded without one.
-        """
-        mixed = [_MIXED(text) is not None for text in texts]
-        cut = pc.split_pattern(pa.array(["" if m else text for m, text in zip(mixed, texts, strict=True)], pa.large_string()), " ")
-        strings = cut.flatten().dictionary_encode()
-        distinct = strings.dictionary.to_pylist()
-        found = [*map(self.cut, map(" ".__add__, distinct)), *(self.cut(text if m else text.partition(" ")[0]) for m, text in zip(mixed, texts, strict=True))]
-        flat, sizes = self.pieces(list(itertools.chain.from_iterable(found)))
-        sizes = _sums(sizes, np.fromiter(map(len, found), np.int64, len(found)))
-        # The first string of each text gives way to what was found before its first blank.
-        counts = pc.list_value_length(cut).to_numpy()
-        which = strings.indices.to_numpy().astype(np.int64)
-        which[np.cumsum(counts) - counts] = len(distinct) + np.arange(len(texts))
-        flat, sizes = _gathered(flat, sizes, which)
+        """The token ids of texts, one text's after the other, and their numbers."""
+        pieces, of_text, counts = self.cutter.cut(texts)
+        coded = pieces.dictionary_encode()
+        _, at, data = coded.dictionary.buffers()
+        data = data.to_pybytes()
+        distinct = [data[a:b] for a, b in itertools.pairwise(np.frombuffer(at, np.int64)[: len(coded.dictionary) + 1].tolist())]
+        new = [piece for piece in distinct if piece not in self.numbers]
+        if len(self.numbers) + len(new) > KEPT:
+            self._forget()
+            new = distinct
+        if new:
+            self._keep(new)
+        number = np.fromiter(map(self.numbers.__getitem__, distinct), np.int64, len(distinct))
+        flat, sizes = _gathered(self.flat, self.begin, self.sizes, number[coded.indices.to_numpy()[of_text]])
         return flat, _sums(sizes, counts)
 
     def encode(self, text: str) -> list[int]:

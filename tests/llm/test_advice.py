@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import pytest
+import regex
 
 from lodeframe.llm import bpe, decontam, licenses, near_join, pii
 from tests.llm.test_brute import plain_alignment
@@ -156,6 +157,29 @@ def test_pieces_are_merged_side_by_side_once(path, monkeypatch):
     assert all(len(x) > bpe.WIDEST for x in queued) and queued
 
 
+def test_pieces_are_cut_at_once_and_kept(monkeypatch):
+    """As the pattern cuts them, in all kinds of characters; what a worker has met isn't merged again, up to the bound."""
+    rng, find = random.Random(15), regex.compile(bpe.PATTERN).findall
+    kinds = [*"abstlver'1!\0\n\t", " ", " ", "  ", "''", " '", "'ll", "'s", "'ve", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "\u200b", "\u0301", "é", "²", "日", "ſ", "😀", "\U00010400", "\U0001d7ce"]
+    texts = ["".join(rng.choice(kinds) for _ in range(rng.randrange(14))) for _ in range(20_000)]
+    texts += [f"x{c}{c} y {c}'s" for c in map(chr, [*range(0xD800), *range(0xE000, 0x20000, 3)])]
+    e = bpe.Encoder(bpe.VOCABULARY)
+    pieces, of_text, counts = e.cutter.cut(texts)
+    want = [find(text) for text in texts]
+    assert [x for x, is_of in zip(pieces.to_pylist(), of_text, strict=True) if is_of] == [x.encode() for found in want for x in found]
+    assert counts.tolist() == [len(found) for found in want]
+    merged, merge = [], e.pairs.merge
+    monkeypatch.setattr(e.pairs, "merge", lambda pieces: merged.extend(pieces) or merge(pieces))
+    monkeypatch.setattr(bpe, "KEPT", 1000)
+    first, other = ["".join(rng.choice("bcdfgh") for _ in range(9)) for _ in range(600)], ["".join(rng.choice("jklmnp") for _ in range(9)) for _ in range(600)]
+    one = [x.tolist() for x in e.ids(first)]
+    assert len(merged) > 500
+    merged.clear()
+    assert [x.tolist() for x in e.ids(first)] == one and not merged
+    two = [x.tolist() for x in e.ids(other)]
+    assert len(e.numbers) <= 1000 and [x.tolist() for x in e.ids(first)] == one and [x.tolist() for x in e.ids(other)] == two
+
+
 def test_near_classes_are_a_row_for_each_document(spark):
     """Families of near copies, exact copies, an id of several texts, nulls: classes and links of a brute-force version."""
     rng, docs = random.Random(14), []
