@@ -4,7 +4,7 @@ A text is cut into pieces by the vocabulary's pattern. A piece's bytes are a dou
 list of symbols; a priority queue holds each adjacent pair that the vocabulary can merge,
 lowest rank first and the leftmost of equals. A popped entry is skipped as stale if one of
 its symbols has been merged since. That is how long pieces are merged; the others are merged
-side by side with numpy by the same rule (Pairs). A worker cuts some megabytes of text at
+side by side with numpy by the same rule (Pairs). A worker cuts a megabyte of text at
 once, by the kinds of their characters (Cutter), and keeps the tokens of the pieces that it
 has met, up to a bound. Decoding concatenates the tokens' byte strings.
 
@@ -29,7 +29,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +39,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the public byte-level vocabularies cut texts into pieces.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of text that are encoded at once.
-ENCODED = 1 << 21
+ENCODED = 1 << 20
 #: Distinct pieces whose tokens a worker keeps; beyond that it begins anew.
 KEPT = 1 << 18
 #: Pieces that are merged at once, and the bytes of the longest of them; longer ones are merged one by one.
@@ -189,11 +188,20 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
+def _array(values: np.ndarray, null: np.ndarray | None = None) -> pa.Array:
+    """Truth values or 32-bit numbers as an Arrow array; pa.array(), to_numpy() and to_pandas_dtype() import pandas, 23 MB in each worker."""
+    bits = lambda x: pa.py_buffer(np.packbits(x, bitorder="little"))
+    kind, data = (pa.bool_(), bits(values)) if values.dtype == bool else (pa.int32(), pa.py_buffer(np.ascontiguousarray(values, np.int32)))
+    return pa.Array.from_buffers(kind, len(values), [None if null is None else bits(~null), data])
+
+
 class Cutter:
     """Cuts texts into the pieces that PATTERN finds, all texts at once."""
 
     def __init__(self):
-        points = "".join("\0" if 0xD800 <= i < 0xE000 else chr(i) for i in range(0x110000))
+        points = np.arange(0x110000, dtype="<u4")
+        points[0xD800:0xE000] = 0
+        points = points.tobytes().decode("utf-32-le")
         self.kinds = np.zeros(len(points), np.uint8)
         for kind, pattern in ((_SPACE, r"\s+"), (_LETTER, r"\p{L}+"), (_DIGIT, r"\p{N}+")):
             for run in regex.finditer(pattern, points):
@@ -251,9 +259,9 @@ class Encoder:
     def __init__(self, path: str):
         self.ranks = load_vocabulary(path)
         self.tokens = {r: t for t, r in self.ranks.items()}
-        known = np.full(max(self.tokens) + 1, None, object)
-        known[list(self.tokens)] = list(self.tokens.values())
-        self.by_id = pa.array(known, pa.binary())
+        known = [self.tokens.get(i, b"") for i in range(max(self.tokens) + 1)]
+        ends = np.cumsum([0, *map(len, known)], dtype=np.int32)
+        self.by_id = pa.Array.from_buffers(pa.binary(), len(known), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(known))])
         self.pairs, self.cutter = Pairs(self.ranks), Cutter()
         self._forget()
 
@@ -300,7 +308,7 @@ class Encoder:
         if new:
             self._keep(new)
         number = np.fromiter(map(self.numbers.__getitem__, distinct), np.int64, len(distinct))
-        flat, sizes = _gathered(self.flat, self.begin, self.sizes, number[coded.indices.to_numpy()[of_text]])
+        flat, sizes = _gathered(self.flat, self.begin, self.sizes, number[np.frombuffer(coded.indices.buffers()[1], np.int32)[: len(of_text)][of_text]])
         return flat, _sums(sizes, counts)
 
     def encode(self, text: str) -> list[int]:
@@ -311,7 +319,7 @@ class Encoder:
 
     def decoded(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
         """The same for many texts: ids one text's after the other, and where each text's end."""
-        out = self.by_id.take(pa.array(ids))
+        out = self.by_id.take(_array(ids))
         at = np.frombuffer(out.buffers()[1], np.int32)[: len(ids) + 1]
         data = memoryview(out.buffers()[2] or b"")
         stops = at[ends].tolist() if len(ids) else [0] * len(ends)
@@ -336,12 +344,13 @@ def _encode(path: str, verify: bool):
             flat, counts = e.ids([text or "" for text in texts])
             if verify:
                 back = e.decoded(flat, np.cumsum(counts))
-                same = [None if text is None else text.encode("utf-8", "surrogatepass") == x for text, x in zip(texts, back, strict=True)]
-            null = pc.is_null(part.column(1))
-            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=null)
-            number = pa.array(counts.astype(np.int32), mask=np.asarray(null))
-            columns = {"doc_id": part.column(0), "n_tokens": number, "token_ids": ids} | ({"round_trip": pa.array(same, pa.bool_())} if verify else {})
+                same = np.array([(text or "").encode("utf-8", "surrogatepass") == x for text, x in zip(texts, back, strict=True)], bool)
+            null = np.array([text is None for text in texts], bool)
+            offsets = np.concatenate([[0], np.cumsum(counts)])
+            ids = pa.ListArray.from_arrays(_array(offsets), _array(flat), mask=_array(null))
+            columns = {"doc_id": part.column(0), "n_tokens": _array(counts, null), "token_ids": ids}
+            if verify:
+                columns["round_trip"] = _array(same, null)
             yield pa.RecordBatch.from_pydict(columns)
 
     return run

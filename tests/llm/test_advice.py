@@ -4,6 +4,8 @@ import itertools
 import math
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
 
 import pytest
@@ -180,6 +182,31 @@ def test_pieces_are_cut_at_once_and_kept(monkeypatch):
     assert len(e.numbers) <= 1000 and [x.tolist() for x in e.ids(first)] == one and [x.tolist() for x in e.ids(other)] == two
 
 
+def test_an_encoding_worker_stays_small():
+    """Memory of a process of its own beyond its imports; before, tables took more than twice this while they were made, and pandas came with them."""
+    code = """
+import random, re, resource, sys
+import numpy as np, pyarrow as pa, pyspark.sql, regex
+from lodeframe.llm import bpe
+rng = random.Random(16)
+words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 10))) for _ in range(20_000)]
+texts = [" ".join(rng.choices(words, k=450)).encode() for _ in range(800)]
+ends = np.cumsum([0, *map(len, texts), 0], dtype=np.int32)
+one = pa.py_buffer(np.arange(801))
+columns = [pa.Array.from_buffers(pa.int64(), 801, [None, one]), pa.Array.from_buffers(pa.string(), 801, [pa.py_buffer(b"\\xff" * 100 + b"\\0"), pa.py_buffer(ends), pa.py_buffer(b"".join(texts))])]
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+before = peak()
+out = list(bpe._encode(bpe.VOCABULARY, True)(iter([pa.RecordBatch.from_arrays(columns, ["doc_id", "text"])])))
+grown, pandas = peak() - before, "pandas" in sys.modules
+rows = [row for part in out for row in part.to_pylist()]
+assert len(rows) == 801 and rows[-1] == {"doc_id": 800, "n_tokens": None, "token_ids": None, "round_trip": None}
+assert all(row["round_trip"] and row["n_tokens"] == len(row["token_ids"]) > 0 for row in rows[:-1])
+print(pandas, grown)
+"""
+    pandas, grown = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()
+    assert pandas == "False" and float(grown) < 80
+
+
 def test_near_classes_are_a_row_for_each_document(spark):
     """Families of near copies, exact copies, an id of several texts, nulls: classes and links of a brute-force version."""
     rng, docs = random.Random(14), []
