@@ -37,3 +37,22 @@ def test_ngrams_are_counted_in_one_pass_of_bounded_batches(spark, monkeypatch):
     df = spark.createDataFrame(rows, "k int, g array<string>")
     tf, n = Counter(x for _, g in rows for x in g or ()), Counter(x for _, g in rows for x in set(g or ()))
     assert {(r.gram, r.tf, r.df) for r in ml.gram_counts(df, "g").collect()} == {(x, tf[x], n[x]) for x in tf}
+
+
+def test_pairs_of_words_are_the_ngrams_of_strings(spark):
+    rng = random.Random(5)
+    rows = [(k, None if k == 9 else " ".join(rng.choice(["aa", "bb", "cc", "dd", "ee"][k % 2 :]) for _ in range(rng.randrange(12))), k % 2) for k in range(120)]
+    df = spark.createDataFrame(rows, "k int, text string, label int").withColumns({f"g{n}": ml.word_grams(F.col("text"), n) for n in (1, 2)})
+    counts = [{tuple(r) for r in ml.gram_counts(df, *x).collect()} for x in (("g2",), ("g1", True))]
+    assert counts[0] == counts[1] and any(" " in r[0] for r in counts[0])
+    a, b = ml.fit(df, grams="g2", vocabulary=20), ml.fit(df, grams="g1", vocabulary=20, pairs=True)
+    assert a.counts.vocabulary == b.counts.vocabulary and a.idf == b.idf
+    scores = [{r.k: r.oda_prob for r in ml.score(m, df, digits=6).collect()} for m in (a, b)]
+    assert len(scores[0]) == 120 and all(abs(scores[0][k] - scores[1][k]) < 1e-4 for k in scores[0])
+
+
+def test_texts_are_scanned_once_for_rules_and_strata(spark, sf):
+    rows = catalogue._rules(catalogue.Tables(spark, sf).texts).where("stratum <> 'negative'")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    # Actor, vocabulary, shared sector and five topics; hits, short and long places.
+    assert plan.count("RLIKE(") == 8 and plan.count("regexp_extract_all(") == 3
