@@ -3,9 +3,11 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lodeframe.functions import terms
 from lodeframe.operators import ml, sampling
 from lodeframe.plans import catalogue
 
@@ -56,3 +58,12 @@ def test_texts_are_scanned_once_for_rules_and_strata(spark, sf):
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     # Actor, vocabulary, shared sector and five topics; hits, short and long places.
     assert plan.count("RLIKE(") == 8 and plan.count("regexp_extract_all(") == 3
+
+
+def test_parts_of_a_batch_are_bounded_and_give_the_same(monkeypatch):
+    lists = pa.array([["a", "b", "a", "b"], None, [], ["b"], ["a", "b", "c"] * 9, ["c", "a", "b"]])
+    whole = terms.Terms(["a", "b", "a b", "c a"], True).lookup()(lists)
+    monkeypatch.setattr(terms, "PART", 4)
+    assert [(at, len(x)) for at, x in terms._slices(lists)] == [(0, 3), (3, 1), (4, 1), (5, 1)]
+    split = terms.Terms(["a", "b", "a b", "c a"], True).lookup()(lists)
+    assert sorted(zip(*whole)) == sorted(zip(*split)) and (2, 8.0, 4) not in zip(*split) and (2, 9.0, 4) in zip(*split)
